@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from statloom.llm.q_bpe import op2_bpe
 from statloom.llm.q_capfilters import OP8_SQL, op8_embedding_neardup
+from statloom.llm.q_linededup import op9_line_dedup
 from statloom.llm.q_mixing import OP1_SQL, op1_mixing
 from statloom.llm.q_ngramjoin import OP10_SQL, op10_ngram_join
 from statloom.llm.q_packing import op3_packing
@@ -15,6 +16,7 @@ QUERIES = {
     "op3_packing": op3_packing,
     "op6_topk": op6_topk,
     "op8_embedding_neardup": op8_embedding_neardup,
+    "op9_line_dedup": op9_line_dedup,
     "op10_ngram_join": op10_ngram_join,
 }
 SQL = {"op1_mixing": OP1_SQL, "op6_topk": OP6_SQL, "op8_embedding_neardup": OP8_SQL, "op10_ngram_join": OP10_SQL}
