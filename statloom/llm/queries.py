@@ -9,12 +9,14 @@ from statloom.llm.q_mixing import OP1_SQL, op1_mixing
 from statloom.llm.q_ngramjoin import OP10_SQL, op10_ngram_join
 from statloom.llm.q_packing import op3_packing
 from statloom.llm.q_topk import OP6_SQL, op6_topk
+from statloom.llm.q_toxicity import op7_toxicity
 
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_bpe": op2_bpe,
     "op3_packing": op3_packing,
     "op6_topk": op6_topk,
+    "op7_toxicity": op7_toxicity,
     "op8_embedding_neardup": op8_embedding_neardup,
     "op9_line_dedup": op9_line_dedup,
     "op10_ngram_join": op10_ngram_join,
