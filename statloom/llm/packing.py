@@ -89,64 +89,80 @@ class Shard:
         yield from np.split(self.ids(0, self.n_ids), self.doc_ends[:-1]) if self.n_docs else ()
 
 
+def _byte_characters() -> dict[int, str]:
+    """The character that stands for each byte in a byte-level vocabulary: itself if printable, else the next from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
 class SpacedEncoder:
-    """Encodes with the tokenizers library, each distinct run between single spaces once.
+    """Encodes with the tokenizers library, each distinct pre-token once.
 
     In a byte-level vocabulary whose pattern joins one space to the word after it, a pre-token ends before every single space
-    between two characters that aren't white space; the text's ids are those of the runs, joined. A text with white space
-    beside white space of which one is a space, or that starts with one, is encoded as a whole. Runs stay known for later
-    texts, up to a number.
+    between two characters that aren't white space; the text's ids are those of the runs between, joined. A run that isn't
+    known is cut by the pattern, and the library's model encodes the pre-tokens that aren't known. A text with white space
+    beside white space of which one is a space, or with a space at an end, or with what could be a special token, is encoded
+    as a whole. Runs and pre-tokens stay known for later texts, up to a number.
     """
 
     KNOWN = 400_000
 
-    def __init__(self, json_path: str):
+    def __init__(self, json_path: str, pattern: str):
         import re
 
+        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(json_path)
+        self.model = self.tokenizer.model
         self.vocabulary = self.tokenizer.get_vocab_size()
-        self.odd = re.compile(r"\s | \s|^ | $")
-        self.known: dict[str, bytes] = {}
-
-    def _plain(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers."""
-        split: list[list[str] | None] = []
-        new: dict[str, None] = {}
-        for t in texts:
-            if self.odd.search(t):
-                split.append(None)
-                continue
-            first, *rest = t.split(" ")
-            runs = [first, *(" " + r for r in rest)] if t else []
-            split.append(runs)
-            new.update(dict.fromkeys(r for r in runs if r not in self.known))
-        if len(self.known) + len(new) > self.KNOWN:
-            self.known = {}
-            new = dict.fromkeys(r for runs in split if runs for r in runs)
-        missing = list(new)
-        self.known.update(zip(missing, self._plain(missing), strict=True))
-        whole = iter(self._plain([t for t, runs in zip(texts, split, strict=True) if runs is None]))
-        get = self.known.__getitem__
-        return [next(whole) if runs is None else b"".join(map(get, runs)) for runs in split]
+        special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.odd = re.compile("|".join([r"\s | \s|^ | $", *map(re.escape, special)]))
+        self.pattern = regex.compile(pattern)
+        self.characters = _byte_characters()
+        self.runs: dict[str, bytes] = {}
+        self.pre_tokens: dict[str, bytes] = {}
+
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _pre_token(self, x: str) -> bytes:
+        if (ids := self.pre_tokens.get(x)) is None:
+            if len(self.pre_tokens) > self.KNOWN:
+                self.pre_tokens = {}
+            spelled = x.encode().decode("latin-1").translate(self.characters)
+            ids = self.pre_tokens[x] = b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(spelled)])
+        return ids
+
+    def encode(self, text: str) -> bytes:
+        """Ids of a text as little-endian unsigned 32-bit integers."""
+        if self.odd.search(text):
+            return self._whole(text)
+        if len(self.runs) > self.KNOWN:
+            self.runs = {}
+        known, out = self.runs, []
+        first, *rest = text.split(" ")
+        for run in (first, *rest):
+            if (ids := known.get(run)) is None:
+                ids = known[run] = b"".join(map(self._pre_token, self.pattern.findall(" " + run)))
+            out.append(ids)
+        out[0] = b"".join(map(self._pre_token, self.pattern.findall(first)))
+        return b"".join(out)
 
 
 @lru_cache(maxsize=2)
-def encoder(json_path: str) -> SpacedEncoder:
+def encoder(json_path: str, pattern: str) -> SpacedEncoder:
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    return SpacedEncoder(json_path)
+    return SpacedEncoder(json_path, pattern)
 
 
 SHARDS = "part int, shard int, doc_ids array<long>, n_ids long, payload binary"
 
 
-def write(docs: DataFrame, path: str, json_path: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", shard_ids: int = SHARD_IDS, block_ids: int = BLOCK_IDS) -> None:
+def write(docs: DataFrame, path: str, json_path: str, pattern: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", shard_ids: int = SHARD_IDS, block_ids: int = BLOCK_IDS) -> None:
     """Writes every document's ids and end_id in ascending order of id_col as shards under path."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
     rows = rows.withColumn("tie", F.xxhash64("text"))
@@ -156,7 +172,7 @@ def write(docs: DataFrame, path: str, json_path: str, end_id: int = 0, id_col: s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, shard, enc = TaskContext.get().partitionId(), 0, encoder(json_path)
+        part, shard, enc = TaskContext.get().partitionId(), 0, encoder(json_path, pattern)
         bits, end = bits_for(max(enc.vocabulary, end_id + 1)), np.array([end_id], "<u4").tobytes()
         doc_ids: list[int | None] = []
         held: list[bytes] = []
@@ -169,15 +185,14 @@ def write(docs: DataFrame, path: str, json_path: str, end_id: int = 0, id_col: s
             return pa.RecordBatch.from_arrays(columns, names=["part", "shard", "doc_ids", "n_ids", "payload"])
 
         for b in batches:
-            for at in range(0, b.num_rows, 256):
-                piece = b.slice(at, 256)
-                for doc_id, ids in zip(piece.column("id").to_pylist(), enc.encode(piece.column("text").to_pylist()), strict=True):
-                    if size and size + len(ids) // 4 + 1 > shard_ids:
-                        yield close()
-                        shard, doc_ids, held, size = shard + 1, [], [], 0
-                    doc_ids.append(doc_id)
-                    held.append(ids + end)
-                    size += len(ids) // 4 + 1
+            for doc_id, text in zip(b.column("id"), b.column("text"), strict=True):
+                ids = enc.encode(text.as_py()) + end
+                if size and size + len(ids) // 4 > shard_ids:
+                    yield close()
+                    shard, doc_ids, held, size = shard + 1, [], [], 0
+                doc_ids.append(doc_id.as_py())
+                held.append(ids)
+                size += len(ids) // 4
         if held:
             yield close()
 

@@ -12,5 +12,5 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     path = f"{ensure_checkpoint_dir(spark)}/shards-{uuid.uuid4().hex}"
-    write(read(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"))
+    write(read(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
     return read_back(spark, path, crc, "ids_crc32 long")
