@@ -58,14 +58,13 @@ def mix(
     seed: int = 17,
     keep: Sequence[str] | None = None,
 ) -> DataFrame:
-    """docs' columns named in keep (all by default) plus mx_size, mx_source_size, mx_target, mx_epochs, mx_copies.
+    """mx_row (a struct of docs' columns named in keep, all by default), mx_size, mx_source_size, mx_target, mx_epochs, mx_copies.
 
     mx_copies is how often the mix takes the row. quality: (mx_id, mx_quality), one row per id, a positive weight; ids that it
     lacks weigh 1.
     """
-    keep = list(docs.columns if keep is None else keep)
     rows = docs.select(
-        *[F.col(c) for c in keep],
+        F.struct(*(docs.columns if keep is None else keep)).alias("mx_row"),
         F.col(source_col).alias("mx_source"),
         word_count(text_col).alias("mx_size"),
         F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.md5(F.coalesce(F.col(text_col), F.lit(""))))).alias("mx_hash"),
@@ -94,7 +93,7 @@ def mix(
     ends = cut(ends.join(last.withColumnRenamed("mx_source", "_s"), F.col("mx_source").eqNullSafe(F.col("_s")), "left").drop("_s").withColumnRenamed("mx_source", "_s"))
     out = rows.join(ends, F.col("mx_source").eqNullSafe(F.col("_s")), "left")
     chosen = (F.col("mx_cell") < F.col("_cell")) | ((F.col("mx_cell") == F.col("_cell")) & (F.struct("mx_key", "mx_hash") <= F.col("_last")))
-    return out.select(*keep, "mx_size", "mx_source_size", "mx_target", "mx_epochs", (F.col("mx_epochs") + F.coalesce(chosen, F.lit(False)).cast("int")).alias("mx_copies"))
+    return out.select("mx_row", "mx_size", "mx_source_size", "mx_target", "mx_epochs", (F.col("mx_epochs") + F.coalesce(chosen & (F.col("mx_size") > 0), F.lit(False)).cast("int")).alias("mx_copies"))
 
 
 def _within(plain: DataFrame, found: DataFrame) -> DataFrame:
@@ -118,6 +117,5 @@ def quality_weights(labels: DataFrame, good: float = 2.0, bad: float = 0.5) -> D
 
 
 def repeat(mixed: DataFrame) -> DataFrame:
-    """Each row of mix()'s result as often as the mix takes it, without the columns that mix() added."""
-    kept = [c for c in mixed.columns if not c.startswith("mx_")]
-    return mixed.where("mx_copies > 0").withColumn("mx_nth", F.explode(F.sequence(F.lit(1), F.col("mx_copies")))).select(*kept)
+    """The rows of mix()'s result, each as often as the mix takes it."""
+    return mixed.where("mx_copies > 0").select("mx_row", F.explode(F.sequence(F.lit(1), F.col("mx_copies")))).select("mx_row.*")

@@ -9,7 +9,7 @@ from statloom.llm.mixing import mix, quality_weights
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mix(read(spark, sf_dir, "documents"), quality=quality_weights(read(spark, sf_dir, "labels")), keep=["doc_id"])
-    return mixed.select("doc_id", F.col("mx_size").alias("size"), F.col("mx_source_size").alias("source_size"), F.col("mx_target").alias("target"), (F.col("mx_size") * F.col("mx_copies")).alias("taken"))
+    return mixed.select(F.col("mx_row.doc_id").alias("doc_id"), F.col("mx_size").alias("size"), F.col("mx_source_size").alias("source_size"), F.col("mx_target").alias("target"), (F.col("mx_size") * F.col("mx_copies")).alias("taken"))
 
 
 OP1_SQL = """
