@@ -3,8 +3,8 @@
 A filter is a direction; a vector passes it if their inner product reaches a threshold. Directions are a random product code:
 after a random rotation, a vector's two halves are compared with c codewords each, and filter (i, j) is the direction made of
 codewords i and j, so c * c filters are decoded from 2 c inner products: of each half's list only codewords that can still
-reach the threshold are visited. The threshold is set so that a random vector passes `passed` filters, and c follows the
-number of vectors of a label so that a filter holds few unrelated vectors at any table size. Two vectors at cosine 0.93 share
+reach the threshold are visited. The threshold is set so that a random vector passes `passed` filters; a vector that passes
+fewer is listed under its `passed` best, so that none has a short list; and c follows the number of vectors of a label so that a filter holds few unrelated vectors at any table size. Two vectors at cosine 0.93 share
 many of the filters that either passes; a pair is verified in double precision in the smallest filter that both pass and
 nowhere else, so links are counted once and pairs are never written out.
 
@@ -37,7 +37,7 @@ class Code:
 
     def __init__(self, d: int, c: int, passed: int, seed: int = 29):
         r = np.random.default_rng([seed, d, c])
-        self.d, self.c, self.half = d, c, max(1, d // 2)
+        self.d, self.c, self.passed, self.half = d, c, passed, max(1, d // 2)
         self.turn = np.linalg.qr(r.normal(size=(d, d)))[0]
         unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
         self.left, self.right = unit(r.normal(size=(c, self.half))), unit(r.normal(size=(c, max(1, d - self.half))))
@@ -52,15 +52,20 @@ class Code:
         return y[:, : self.half] @ self.left.T, right
 
     def decode(self, x: np.ndarray) -> list[np.ndarray]:
-        """For each unit vector the filters that it passes, ascending."""
+        """For each unit vector, ascending, the filters whose threshold it reaches, and in any case its `passed` best."""
         out = []
+        k = min(self.passed, self.c)
+        u, v = np.nonzero(np.outer(np.arange(1, k + 1), np.arange(1, k + 1)) <= self.passed)  # where the best sums of two sorted lists are
         for at in range(0, len(x), 512):
             left, right = self._scores(x[at : at + 512] @ self.turn)
-            order = np.argsort(-right, axis=1)
-            for a, b, o in zip(left, right, order, strict=True):
+            order = np.argsort(-right, axis=1, kind="stable")
+            best = -np.sort(-left, axis=1)[:, u] + np.take_along_axis(right, order, axis=1)[:, v]
+            nth = min(self.passed, best.shape[1]) - 1
+            least = np.minimum(self.least, -np.partition(-best, nth, axis=1)[:, nth])
+            for a, b, o, low in zip(left, right, order, least, strict=True):
                 b = -b[o]  # ascending
-                i = np.flatnonzero(a - b[0] >= self.least)
-                n = np.searchsorted(b, a[i] - self.least, "right")
+                i = np.flatnonzero(a - b[0] >= low)
+                n = np.searchsorted(b, a[i] - low, "right")
                 j = np.concatenate([o[:k] for k in n]) if len(n) else np.zeros(0, np.int64)
                 out.append(np.sort(np.repeat(i, n) * self.c + j).astype("<i8"))
         return out
