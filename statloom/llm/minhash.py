@@ -18,7 +18,7 @@ blocks of bounded size that are dealt to many tasks. A band or a group of any si
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -247,26 +247,31 @@ def _linked(sets: list[np.ndarray], least: float, cell_limit: int = 1 << 23) ->
     return ok
 
 
-def verified_links(members: DataFrame, least: float, block: int = 256) -> DataFrame:
-    """From rows (root, key, weight, shingles binary) of all candidate groups: (key, links, other).
+def unpacked(column: pa.BinaryArray) -> list[np.ndarray]:
+    """Shingle sets from bytes: distinct 64-bit hashes in ascending order."""
+    return [np.frombuffer(x.as_buffer(), np.uint64) for x in column]
+
+
+def verified_links(members: DataFrame, groups: DataFrame, least: float, sets_of: Callable[[pa.Array], list[np.ndarray]] = unpacked, block: int = 256) -> DataFrame:
+    """From rows (root, key, weight, shingles) of all candidate groups (node, root): (key, links, other).
 
     Rows with other are edges of a spanning forest of each block pair's verified links; links sums the weights of the keys
-    that a key links with. shingles: distinct 64-bit hashes in ascending order.
+    that a key links with. sets_of makes shingle sets of the column shingles, in the task that compares them.
     """
-    sizes = members.groupBy("root").agg(F.count("*").alias("size"))
+    sizes = groups.groupBy("root").agg(F.count("*").alias("size"))
     group = ["root", "_i", "_j"]
     dealt = deal_blocks(members.join(sizes, "root"), "key", "size", block).select(*group, "_own", "key", "weight", "shingles")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, starts in whole_groups(batches, group, 256):
             key, weight, own, i, j = (table.column(c).to_numpy() for c in ("key", "weight", "_own", "_i", "_j"))
-            packed = table.column("shingles").combine_chunks()
+            sets = sets_of(table.column("shingles").combine_chunks())
             total = np.zeros(table.num_rows, np.int64)
             edges: list[tuple[int, int]] = []
             for lo, hi in zip(starts, [*starts[1:], table.num_rows], strict=True):
                 if hi - lo < 2:
                     continue
-                ok = _linked([np.frombuffer(packed[k].as_buffer(), np.uint64) for k in range(lo, hi)], least)
+                ok = _linked(sets[lo:hi], least)
                 if i[lo] != j[lo]:
                     ok &= own[lo:hi, None] != own[None, lo:hi]
                 total[lo:hi] = ok @ weight[lo:hi]

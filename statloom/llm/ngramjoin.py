@@ -134,7 +134,7 @@ def joined(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", word
     classes = cut(classes.join(groups.withColumnRenamed("node", "key"), "key", "left"))
     full = plain.select("text").mapInArrow(fetch, "key long, shingles binary").dropDuplicates(["key"])
     members = full.join(classes.where("root is not null").select("key", "weight", "root"), "key")
-    links = verified_links(members, least)
+    links = verified_links(members, groups, least)
     counted = links.where("links > 0").groupBy("key").agg(F.sum("links").alias("links"))
     roots = connected_components(links.where("other is not null"), "key", "other")
     kin = classes.drop("root").join(counted, "key", "left").join(roots.withColumnRenamed("node", "key"), "key", "left")
