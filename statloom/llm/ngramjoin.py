@@ -150,4 +150,5 @@ def one_of_each(docs: DataFrame, **options) -> DataFrame:
     """docs without the rows of a component that come after its first (smallest id, then row). docs must be a table or a
     result that is read back, so that its rows come in the same order twice."""
     gone = joined(docs, **options).where("not first").select(F.col("row").alias("_gone"))
-    return docs.withColumn("_row", F.monotonically_increasing_id()).join(gone, F.col("_row") == F.col("_gone"), "left_anti").select(*docs.columns)
+    rows = docs.select(F.struct(*docs.columns).alias("_doc"), F.monotonically_increasing_id().alias("_row"))
+    return rows.join(gone, F.col("_row") == F.col("_gone"), "left_anti").select("_doc.*")
