@@ -134,14 +134,13 @@ def learn(df: DataFrame, context: Context | None = None, params: Params | None =
         elif op is Operation.SPLIT_ROWS_CONDITION:
             k = len(t.scope)
             column = used[split_attribute(rdc, list(range(k)), list(range(k, len(used))))]
-            parted, ranges = median_split(rows, column)
+            ranges, counts = halves(rows, column, meta[column], params)
             if len(ranges) < 2:
                 queue.append(Task(t.where, t.scope, t.condition, t.place, t.strong, no_clusters=True))
                 continue
             # boxes end at observed values, which lie inside bins; a value in the gap between goes to the upper box
             boxes = [{column: (-np.inf, ranges[0][1])}, {column: (ranges[1][0], np.inf)}]
             sides = [F.coalesce(F.col(column) <= ranges[0][1], F.lit(False)), F.coalesce(F.col(column) > ranges[0][1], F.lit(False))]
-            counts = rows.agg(*[F.coalesce(F.sum(x.cast("long")), F.lit(0)) for x in sides]).first()
             total = max(1, sum(counts))
             node = parent[slot] = Split(list(t.scope), [None, None], boxes=boxes, weights=np.array([c / total for c in counts]), rows=float(size))
             queue += [Task(t.where & x, t.scope, t.condition, (node.children, i), t.strong) for i, x in enumerate(sides)]
@@ -162,6 +161,27 @@ def learn(df: DataFrame, context: Context | None = None, params: Params | None =
     return root
 
 
+def halves(rows: DataFrame, column: str, meta: MetaType, params: Params) -> tuple[list[tuple[float, float]], list[int]]:
+    """The tight ranges and row counts of the two sides of a median split; one range if there is one value only.
+
+    A column of few values is counted value by value, in one job.
+    """
+    c = F.col(column)
+    if meta != MetaType.REAL:
+        got = rows.where(c.isNotNull()).groupBy(column).count().limit(params.leaf_bins + 1).collect()  # at most leaf_bins + 1 rows
+        if len(got) <= params.leaf_bins:
+            x, n = map(np.array, zip(*sorted((float(r[column]), r["count"]) for r in got), strict=True)) if got else (np.zeros(0), np.zeros(0, int))
+            if len(x) < 2:
+                return [(float(v), float(v)) for v in x], n.tolist()
+            cum = np.cumsum(n)
+            m = (x[np.searchsorted(cum, (cum[-1] - 1) // 2, "right")] + x[np.searchsorted(cum, cum[-1] // 2, "right")]) / 2
+            upper = x > x[0] if len(x) == 2 or m == x[0] else x >= m
+            return [(float(x[~upper][0]), float(x[~upper][-1])), (float(x[upper][0]), float(x[upper][-1]))], [int(n[~upper].sum()), int(n[upper].sum())]
+    parted, ranges = median_split(rows, column)
+    counts = {r["part"]: r["count"] for r in parted.where("part is not null").groupBy("part").count().collect()}  # two rows
+    return ranges, [counts[k] for k in sorted(counts)]
+
+
 def make_leaf(rows: DataFrame, scope: list[str], meta: dict[str, MetaType], params: Params, size: int) -> Node:
     return histogram_leaf(rows, scope[0], meta[scope[0]], params, size) if len(scope) == 1 else joint_leaf(rows, scope, meta, params, size)
 
