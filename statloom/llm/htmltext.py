@@ -208,17 +208,18 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
 
     def hash_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out: list[tuple] = []
-            for row, url, html in zip(b.column("_row").to_pylist(), b.column("_url").to_pylist(), b.column("_html"), strict=True):
-                page, host = Page(html.as_py() or ""), host_of(url)
+            out: list[tuple[int, list[int], list[int]]] = []
+            for url, html in zip(b.column("_url").to_pylist(), b.column("_html"), strict=True):
+                page = Page(html.as_py() or "")
                 (_, inside), hashes = page.judged(), page.hashes()
                 judged = {h: i for h, i, t in zip(hashes, inside, page.tag, strict=True) if h and not (i and t in TEXTUAL) and t not in ("html", "body", "article", "main")}
-                out += [(row, host, h, i) for h, i in judged.items()]
-            r, o, h, i = zip(*out, strict=True) if out else ((), (), (), ())
-            yield pa.RecordBatch.from_pydict({"row": pa.array(r, pa.int64()), "host": pa.array(o, pa.string()), "hash": pa.array(h, pa.int64()), "inside": pa.array(i, pa.bool_())})
+                host = xxhash.xxh3_64_intdigest(host_of(url).encode("utf-8", "surrogatepass")) >> 1
+                out.append((host, [h for h, i in judged.items() if not i], [h for h, i in judged.items() if i]))
+            yield pa.RecordBatch.from_pydict({"row": b.column("_row"), "host": pa.array([o[0] for o in out], pa.int64()), "outside": pa.array([o[1] for o in out], pa.list_(pa.int64())), "inside": pa.array([o[2] for o in out], pa.list_(pa.int64()))})
 
-    subtrees = cut(rows.select("_row", "_url", "_html").mapInArrow(hash_all, "row long, host string, hash long, inside boolean"))
-    hosts = subtrees.select("host", "row").distinct().groupBy("host").agg(F.count("*").alias("pages"))
+    listed = cut(rows.select("_row", "_url", "_html").mapInArrow(hash_all, "row long, host long, outside array<long>, inside array<long>"))
+    subtrees = listed.select("row", "host", F.explode("outside").alias("hash"), F.lit(False).alias("inside")).union(listed.select("row", "host", F.explode("inside"), F.lit(True)))
+    hosts = listed.groupBy("host").agg(F.count("*").alias("pages"))
     counts = subtrees.groupBy("host", "hash").agg(F.count("*").alias("n"), F.max("inside").alias("inside")).where(F.col("n") >= min_pages)
     template = counts.join(hosts, "host").where(F.col("n") >= F.when(F.col("inside"), min_share_inside).otherwise(min_share) * F.col("pages")).select("host", "hash")
     gone = subtrees.join(template, ["host", "hash"], "left_semi").groupBy("row").agg(F.collect_set("hash").alias("gone"))
