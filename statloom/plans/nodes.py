@@ -7,7 +7,6 @@ columns). Batches are dictionaries of column -> array; NaN or a missing column m
 
 from __future__ import annotations
 
-import itertools
 import math
 from dataclasses import dataclass, field
 
@@ -612,6 +611,3 @@ def em_step_sums(root: Node, x: Batch, m: int) -> dict[int, np.ndarray]:
             out[n.id] = np.array([np.nansum(np.where(np.isfinite(top), p, 0.0)) for p in parts])
     return out
 
-
-def combinations_of(columns: list[str], values: dict[str, list[float]]) -> list[dict[str, float]]:
-    return [dict(zip(columns, v, strict=True)) for v in itertools.product(*(values[c] for c in columns))]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +15,7 @@ from statloom.operators import predicates as Q
 from statloom.operators import rows as R
 from statloom.plans import nodes as N
 from statloom.plans.learn import Params
+from statloom.plans.learn import histogram_leaf as leaf
 from statloom.plans.model import Model, q_errors
 from statloom.sources.context import Context, MetaType, domains, encode_strings
 from statloom.sources.workload import query_frame, range_queries, with_truth
@@ -236,8 +238,6 @@ def interval_entropy(spark, sf):
 
 @query("nearest_centre", "WITH s AS (SELECT CASE WHEN (p_size - 10.0) * (p_size - 10.0) + (p_retailprice - 1000.0) * (p_retailprice - 1000.0) <= (p_size - 40.0) * (p_size - 40.0) + (p_retailprice - 1500.0) * (p_retailprice - 1500.0) THEN 0 ELSE 1 END AS part FROM part) SELECT part, count(*) AS n, count(*) * 1.0 / (SELECT count(*) FROM part) AS share FROM s GROUP BY part")
 def nearest_centre(spark, sf):
-    import numpy as np
-
     return R.part_shares(R.nearest_centre(read(spark, sf, "part"), ["p_size", "p_retailprice"], [np.array([10.0, 1000.0]), np.array([40.0, 1500.0])]))
 
 
@@ -344,8 +344,6 @@ def exact_cardinalities(spark, sf):
 def _product(spark, sf) -> Model:
     """A hand-made model whose answers SQL can repeat: independent quantity and line number."""
     t = read(spark, sf, "lineitem").select(F.col("l_quantity").alias("q"), F.col("l_linenumber").cast("double").alias("k"))
-    from statloom.plans.learn import histogram_leaf as leaf
-
     n = t.count()
     p = Params(alpha=0.0)
     root = N.Product(["q", "k"], [leaf(t, "q", MetaType.DISCRETE, p, n), leaf(t, "k", MetaType.DISCRETE, p, n)])
@@ -406,10 +404,8 @@ def model_gradients(spark, sf):
 @query("model_em")
 def model_em(spark, sf):
     rows = read(spark, sf, "part").select(F.col("p_size").cast("double").alias("x"))
-    from statloom.plans.learn import histogram_leaf as leaf
-
     low, high = rows.where("x <= 30"), rows.where("x > 20")
-    root = N.Sum(["x"], [leaf(low, "x", MetaType.DISCRETE, Params(), low.count()), leaf(high, "x", MetaType.DISCRETE, Params(), high.count())], weights=__import__("numpy").array([0.5, 0.5]))
+    root = N.Sum(["x"], [leaf(low, "x", MetaType.DISCRETE, Params(), low.count()), leaf(high, "x", MetaType.DISCRETE, Params(), high.count())], weights=np.array([0.5, 0.5]))
     m = Model(N.assign_ids(root), rows.count(), spark).em(rows)
     return spark.createDataFrame([(i, float(w)) for i, w in enumerate(m.root.weights)], "child int, weight double")
 
@@ -417,8 +413,6 @@ def model_em(spark, sf):
 @query("incremental_update", "SELECT CAST(0 AS BIGINT) AS query_id, (SELECT count(*) FROM lineitem WHERE l_quantity BETWEEN 10 AND 20) * 1.0 / (SELECT count(*) FROM lineitem) AS selectivity, (SELECT count(*) FROM lineitem WHERE l_quantity BETWEEN 10 AND 20) * 1.0 AS cardinality")
 def incremental_update(spark, sf):
     """A model of half of the rows, then the other half inserted, some rows inserted twice and deleted again: as if built at once."""
-    from statloom.plans.learn import histogram_leaf as leaf
-
     t = read(spark, sf, "lineitem").select("l_orderkey", F.col("l_quantity").alias("q"))
     half, rest, some = t.where("l_orderkey % 2 = 0"), t.where("l_orderkey % 2 = 1"), t.where("l_orderkey % 7 = 0")
     n = half.count()
