@@ -236,8 +236,9 @@ def _linked(sets: list[np.ndarray], least: float, cell_limit: int = 1 << 23) ->
         column = renumber[column]
         order = np.argsort(column, kind="stable")
         row, column = row[order], column[order]
-        step = max(1, cell_limit // len(sets))
-        for lo in range(0, int(column[-1]) + 1, step):
+        width = int(column[-1]) + 1
+        step = min(width, max(1, cell_limit // len(sets)))
+        for lo in range(0, width, step):
             s, t = np.searchsorted(column, (lo, lo + step))
             m = np.zeros((len(sets), step), np.float32)
             m[row[s:t], column[s:t] - lo] = 1
