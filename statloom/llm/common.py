@@ -53,9 +53,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
         .distinct()
     )
     e = cut(e)
-    mark = _mark(e)
     for _ in range(max_rounds):
-        if not mark[0]:
+        if _settled(e):
             break
         both = e.select(F.col("lo").alias("u"), F.col("hi").alias("v")).union(e.select(F.col("hi"), F.col("lo")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -64,17 +63,16 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
         met = large.join(low, "hi")
         small = met.where("lo <> m").select(F.col("m").alias("lo"), F.col("lo").alias("hi")).union(met.select(F.col("m").alias("lo"), "hi"))
         e = cut(small.distinct())
-        if (now := _mark(e)) == mark:
-            break
-        mark = now
     else:
         raise RuntimeError("components have not settled")
     return e.select(F.col("hi").alias("node"), F.col("lo").alias("root")).union(e.select(F.col("lo"), F.col("lo")).distinct())
 
 
-def _mark(e: DataFrame) -> tuple:
-    """Size and order-free checksum of an edge list."""
-    return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("lo", "hi").cast("decimal(38,0)"))).first())
+def _settled(e: DataFrame) -> bool:
+    """Whether edges are disjoint stars around their smallest nodes: each hi has one lo, and no lo is a hi."""
+    ends = e.select(F.col("hi").alias("n"), F.lit(1).alias("h"), F.lit(0).alias("l")).union(e.select("lo", F.lit(0), F.lit(1)))
+    odd = ends.groupBy("n").agg(F.sum("h").alias("h"), F.max("l").alias("l")).where("h > 1 or (h = 1 and l = 1)")
+    return odd.agg(F.count("*")).first()[0] == 0
 
 
 def deal_blocks(members: DataFrame, id_col: str, size_col: str, block: int = 512) -> DataFrame:
