@@ -1,9 +1,7 @@
 """MinHash parts that the line and n-gram operators share.
 
-Signatures. Shingle hashes of a text are dealt by hash to a few bins, and each bin keeps the minima of ROWS_PER_BIN
-permutations of its own hashes, so that a signature of bins * ROWS_PER_BIN values costs ROWS_PER_BIN passes over the shingles.
-An empty bin borrows from the next that isn't. Two texts agree in one value with about the probability of their Jaccard
-similarity.
+Signatures. Each value of a signature is the minimum of a permutation of its own over all shingle hashes of a text, whatever
+their number. So two texts agree in one value with the probability of their Jaccard similarity, independently of the others.
 
 Banding. A band is `rows` values. With b bands, a pair at similarity s meets in some band with probability
 1 - (1 - s**rows)**b; bands_for() gives the b for a target recall. Entries (band hash, key, 64-bit sketch) are packed by
@@ -27,7 +25,6 @@ from pyspark.sql import functions as F
 
 from statloom.llm.common import Forest, connected_components, cut, deal_blocks, whole_groups
 
-ROWS_PER_BIN = 10
 ENTRY = np.dtype([("band", "<u8"), ("key", "<i8"), ("sketch", "<u8")])
 #: Bands with more keys than this are dealt out again, as block pairs.
 WIDE = 4096
@@ -49,45 +46,35 @@ class Signer:
 
     def __init__(self, bands: int, rows: int, seed: int = 41):
         self.bands, self.rows = bands, rows
-        self.bins = math.ceil(bands * rows / ROWS_PER_BIN)
         r = np.random.default_rng([seed, bands, rows])
-        self.flip = r.integers(0, 1 << 32, ROWS_PER_BIN, dtype=np.uint64).astype(np.uint32)
-        self.odd = r.integers(0, 1 << 32, ROWS_PER_BIN, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
+        self.flip = r.integers(0, 1 << 32, bands * rows, dtype=np.uint64).astype(np.uint32)
+        self.odd = r.integers(0, 1 << 32, bands * rows, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
         self.weights = r.integers(0, 1 << 63, (bands, rows), dtype=np.uint64) | np.uint64(1)
 
-    def signatures(self, hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        """hashes: scrambled 32-bit shingle hashes of all texts; starts: where each text's begin (none is empty). Texts x values."""
-        n = len(starts)
-        bin_of = ((hashes >> np.uint32(8)) * np.uint32(self.bins * 2 + 1) >> np.uint32(7)) % np.uint32(self.bins)
-        out = np.empty((ROWS_PER_BIN, self.bins, n), np.uint32)
-        filled = np.empty((self.bins, n), bool)
-        for b in range(self.bins):
-            here = bin_of == b
-            own = hashes[here]
-            at = np.r_[0, np.cumsum(here)][starts]
-            count = np.diff(np.r_[at, len(own)])
-            filled[b] = count > 0
-            some = np.flatnonzero(count)
-            for p in range(ROWS_PER_BIN):
-                out[p, b] = np.uint32(0xFFFFFFFF)
-                if len(some):
-                    out[p, b, some] = np.minimum.reduceat((own ^ self.flip[p]) * self.odd[p], at[some])
-        for b in range(self.bins):
-            for t in np.flatnonzero(~filled[b]):
-                k = next(k for k in range(1, self.bins) if filled[(b + k) % self.bins, t])
-                out[:, b, t] = out[:, (b + k) % self.bins, t] + np.uint32(k)
-        return out.reshape(ROWS_PER_BIN * self.bins, n)[: self.bands * self.rows]
+    def signatures(self, hashes: np.ndarray, starts: np.ndarray, held: int = 1 << 15) -> np.ndarray:
+        """hashes: scrambled 32-bit shingle hashes of all texts; starts: where each text's begin (none is empty). Values x texts.
+
+        Texts are taken in runs of about `held` hashes, which stay in the processor's cache."""
+        out = np.empty((self.bands * self.rows, len(starts)), np.uint32)
+        cuts = np.flatnonzero(np.r_[True, starts[1:] // held != starts[:-1] // held]) if len(starts) else []
+        for lo, hi in zip(cuts, [*cuts[1:], len(starts)], strict=True):
+            own = hashes[starts[lo] : starts[hi] if hi < len(starts) else len(hashes)]
+            at, turned = starts[lo:hi] - starts[lo], np.empty_like(own)
+            for v, (flip, odd) in enumerate(zip(self.flip, self.odd, strict=True)):
+                np.multiply(np.bitwise_xor(own, flip, out=turned), odd, out=turned)
+                out[v, lo:hi] = np.minimum.reduceat(turned, at)
+        return out
 
     def entries(self, keys: np.ndarray, hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """bands entries of each text, text by text."""
-        sig = self.signatures(hashes, starts).astype(np.uint64)
+        sig = self.signatures(hashes, starts)
         sketch = np.zeros(len(starts), np.uint64)
         for k in range(64):
-            sketch |= (mix64(sig[k % len(sig)]) >> np.uint64(k // len(sig)) & np.uint64(1)) << np.uint64(k)
+            sketch |= (mix64(sig[k % len(sig)].astype(np.uint64)) >> np.uint64(k // len(sig)) & np.uint64(1)) << np.uint64(k)
         out = np.empty((len(starts), self.bands), ENTRY)
         out["key"], out["sketch"] = keys[:, None], sketch[:, None]
         for b in range(self.bands):
-            own = sig[b * self.rows : (b + 1) * self.rows]
+            own = sig[b * self.rows : (b + 1) * self.rows].astype(np.uint64)
             out["band"][:, b] = mix64((own * self.weights[b][:, None]).sum(axis=0) + np.uint64(b))
         return out
 
