@@ -16,14 +16,15 @@ blocks of bounded size that are dealt to many tasks. A band or a group of any si
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from statloom.llm.common import Forest, connected_components, cut, deal_blocks, whole_groups
+from statloom.llm.common import Forest, connected_components, cut, deal_blocks, free_shuffles, whole_groups
 
 ENTRY = np.dtype([("band", "<u8"), ("key", "<i8"), ("sketch", "<u8")])
 #: Bands with more keys than this are dealt out again, as block pairs.
@@ -112,8 +113,19 @@ def _edges_within(keys: np.ndarray, sketch: np.ndarray, bits: int, forest: Fores
     return out
 
 
-def candidate_groups(packed: DataFrame, least: float) -> DataFrame:
-    """(node, root): keys that share a candidate group, from rows (slice int, payload binary). Keys with no candidate have no row."""
+def candidate_groups(rounds: Iterable[DataFrame], least: float) -> DataFrame:
+    """(node, root): keys that share a candidate group, from rows (slice int, payload binary). Keys with no candidate have no row.
+
+    Each round has bands of its own, whose entries leave the disk before the next."""
+    edges = []
+    for packed in rounds:
+        edges.append(candidate_edges(packed, least))
+        free_shuffles(packed.sparkSession)
+    return connected_components(reduce(DataFrame.union, edges), "a", "b")
+
+
+def candidate_edges(packed: DataFrame, least: float) -> DataFrame:
+    """(a, b): forest links of the candidates that one round's bands give."""
     bits = agreeing(least)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,7 +178,7 @@ def candidate_groups(packed: DataFrame, least: float) -> DataFrame:
 
     wide = deal_blocks(met.where("band is not null").select("a", "band", "sketch", "size"), "a", "size", 1024)
     more = wide.repartition(*group).sortWithinPartitions(*group).mapInArrow(meet_wide, "a long, b long")
-    return connected_components(met.where("b is not null").select("a", "b").union(more), "a", "b")
+    return met.where("b is not null").select("a", "b").union(more)
 
 
 def bloom_of(keys: DataFrame, column: str, bits: int = 1 << 25) -> np.ndarray:

@@ -112,7 +112,7 @@ def joined(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", word
             got = list(slices(np.frombuffer(b"".join(b.column("entries").take(pa.array(first)).to_pylist()), ENTRY), n_slices))
             yield pa.RecordBatch.from_pydict({"slice": pa.array([s for s, _ in got], pa.int32()), "payload": pa.array([p for _, p in got], pa.binary())})
 
-    groups = candidate_groups(signed.where("key is not null").select("key", "entries").mapInArrow(pack, "slice int, payload binary"), least)
+    groups = candidate_groups([signed.where("key is not null").select("key", "entries").mapInArrow(pack, "slice int, payload binary")], least)
     groups = cut(groups)
     shared = spark.sparkContext.broadcast(bloom_of(groups, "node"))
 

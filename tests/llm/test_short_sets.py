@@ -5,9 +5,9 @@ import random
 import numpy as np
 import pytest
 
-from statloom.llm import ngramjoin
+from statloom.llm import linededup, ngramjoin
 from statloom.llm.minhash import Signer, _agree, agreeing, bands_for
-from tests.llm.edge import brute_join, documents
+from tests.llm.edge import brute_join, brute_lines, documents
 
 
 def met(shared, one, two, rows, recall, n=4000):
@@ -33,3 +33,20 @@ def test_short_documents_join(spark, tmp_path):
     links, _ = brute_join([(x[0], x[1]) for x in rows])
     assert set(links.values()) == {1}
     assert {x.id: x.n_links for x in ngramjoin.joined(documents(spark, f"{tmp_path}/d", rows)).collect()} == links
+
+
+@pytest.mark.parametrize("parts", [(4, 1, 0), (8, 1, 1), (12, 3, 0), (16, 2, 2), (20, 5, 0)])
+def test_recall_of_lines(parts):
+    assert met(*parts, linededup.ROWS, linededup.RECALL) >= 0.999
+
+
+def test_short_lines_at_the_default(spark, tmp_path):
+    """Lines of 9 characters, and the same without the last one: 5 and 4 shingles. Longer ones with an edit."""
+    r, rows = random.Random(5), []
+    for i in range(150):
+        line = "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(9 if i % 2 else 60))
+        near = line[:8] if i % 2 else line[:30] + "0" + line[31:]
+        rows.append((i, f"{line}\n{near}", "en", "s", 1))
+    want = brute_lines([(x[0], x[1]) for x in rows])
+    assert sum("\n" not in t for t in want.values()) == 150
+    assert {x.doc_id: x.text for x in linededup.dedup_lines(documents(spark, f"{tmp_path}/d", rows)).collect()} == want
