@@ -213,8 +213,10 @@ def histogram_leaf(rows: DataFrame, column: str, meta: MetaType, params: Params,
     return Leaf([column], lo=edges[:-1], hi=edges[1:], pdf=(k + params.alpha) / (k.sum() + params.alpha * b), non_null=s.n / size, rows=float(size), discrete=False)
 
 
-def joint_leaf(rows: DataFrame, scope: list[str], meta: dict[str, MetaType], params: Params, size: int) -> Joint:
-    """Sparse cells. A column of too many values is binned by width, with ever fewer bins until there are at most `cells` cells."""
+def joint_leaf(rows: DataFrame, scope: list[str], meta: dict[str, MetaType], params: Params, size: int) -> Node:
+    """Sparse cells. A column of too many values is binned by width, with ever fewer bins until there are at most `cells` cells.
+
+    If the coarsest bins still have more, each half of the columns is a leaf of its own, so that every row counts."""
     v = rows.dropna(subset=scope)
     s = v.agg(*[F.min(c).alias(f"lo_{i}") for i, c in enumerate(scope)], *[F.max(c).alias(f"hi_{i}") for i, c in enumerate(scope)], *[F.approx_count_distinct(c).alias(f"d_{i}") for i, c in enumerate(scope)]).first()
     if s["lo_0"] is None:
@@ -228,8 +230,11 @@ def joint_leaf(rows: DataFrame, scope: list[str], meta: dict[str, MetaType], par
             keys.append(F.col(c) if fine else F.least(F.floor((F.col(c) - lo) / (hi - lo) * bins), F.lit(bins - 1)).cast("double"))
         cells = v.groupBy(*[k.alias(f"k{i}") for i, k in enumerate(keys)]).agg(F.count("*").alias("n"), *[F.min(c).alias(f"lo{i}") for i, c in enumerate(scope)], *[F.max(c).alias(f"hi{i}") for i, c in enumerate(scope)])
         got = cells.limit(params.cells + 1).collect()  # at most cells + 1 rows
-        if len(got) <= params.cells or bins <= 2:
+        if len(got) <= params.cells:
             break
+        if bins <= 2:
+            half = len(scope) // 2
+            return Product(list(scope), [make_leaf(rows, list(part), meta, params, size) for part in (scope[:half], scope[half:])])
         bins //= 2
     n = np.array([r["n"] for r in got], float)
     return Joint(list(scope), low=np.array([[r[f"lo{i}"] for i in range(len(scope))] for r in got]), high=np.array([[r[f"hi{i}"] for i in range(len(scope))] for r in got]), pdf=n / n.sum(), rows=float(size))
