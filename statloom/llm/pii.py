@@ -2,7 +2,7 @@
 
 Base entities are regular expression matches, leftmost and non-overlapping for each kind, of which some fail a check and are
 dropped. They seed the bootstrap: the word before an entity (its cue, e.g. "tel:") is a lexical pattern, and what follows a
-pattern elsewhere is an instance: a base entity, or another run of characters that holds a digit. The pattern-instance graph
+pattern elsewhere is an instance: a base entity, another run of characters that holds a digit, or a few groups of digits. The pattern-instance graph
 is scored in rounds. A pattern's score for a kind is the weighted share of instances of that kind among all that follow it;
 an instance that isn't a base entity scores 1 - prod(1 - score) over its patterns. In the end, identifiers that follow a
 pattern of high score and support, and that overlap no base entity, are found too, as kind `other`. A word that precedes all
@@ -34,7 +34,10 @@ PATTERNS = {
 #: Without one of these characters a text holds no match.
 NEEDS = {"email": "@", "phone": "+"}
 _PART = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
-CANDIDATE = r"(?<!\S)(?=\S*?[0-9])[^\s]{5,}+"
+_CUED = r"\p{L}[\p{L}\p{M}-]{0,30}"
+_GROUP = r"\(?[0-9][0-9().-]*+(?![^\s,;:!?])"
+#: At a start of a run, or after a cue and ":" or "=" there: up to eight groups of digits with spaces between, or a run with a digit.
+CANDIDATE = rf"(?:(?<!\S)(?!{_CUED}[:=][^\s/])|(?<=[:=])(?<=(?<!\S){_CUED}[:=])(?=[^\s/]))(?:\+?{_GROUP}(?:\x20{_GROUP}){{1,7}}+|(?=\S*?[0-9])[^\s]{{5,}}+)"
 CUE_CHARS, ROUNDS, LEAST_SCORE, LEAST_SEEDS = 40, 3, 0.7, 3
 BLOCK = 64
 
@@ -112,13 +115,9 @@ def extract(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     seeds = F.concat(*[F.transform(k, _seed(k)) for k in KINDS])
     df = df.withColumn("base", base).withColumn("_seeds", seeds)
     bare = F.transform("_c", lambda x: F.struct(F.lit("other").alias("kind"), x["s"].alias("s"), (x["s"] + F.length(F.regexp_replace(x["m"], r"[^\p{L}\p{N}]++$", ""))).alias("e"), F.lower(F.regexp_replace(x["m"], r"[^\p{L}\p{N}]++$", "")).alias("m"), _cue(x["before"]).alias("cue")))
-    like = "|".join(f"(?:{p})" for p in PATTERNS.values())
-    spaced = F.filter(F.concat("card", "phone"), lambda b: F.contains(b["m"], F.lit(" ")))
-    df = df.withColumn("_spaced", F.transform(spaced, lambda b: F.struct(b["s"].alias("s"), b["e"].alias("e"))))
-    free = F.filter(bare, lambda x: (F.length(x["m"]) >= 5) & (x["cue"] != "") & ~x["m"].rlike(like))
-    df = df.withColumn("_free", free)
-    others = F.filter("_free", lambda x: ~F.exists("_spaced", lambda b: (b["s"] < x["e"]) & (b["e"] > x["s"])))
-    df = df.withColumn("_others", F.when(F.size("_spaced") > 0, others).otherwise(F.col("_free")))
+    df = df.withColumn("_free", F.filter(bare, lambda x: (F.length(x["m"]) >= 5) & (x["cue"] != "")))
+    others = F.filter("_free", lambda x: ~F.exists("base", lambda b: (b["s"] < x["e"]) & (b["e"] > x["s"])))
+    df = df.withColumn("_others", F.when(F.size("base") > 0, others).otherwise(F.col("_free")))
     table = cut(df.select(id_col, "base", "_seeds", "_others").withColumn("_row", F.monotonically_increasing_id()))
 
     cues = accepted_cues(table.select(F.explode(F.concat("_seeds", "_others")).alias("x")).select("x.cue", F.col("x.m").alias("instance"), "x.kind").where("cue <> ''"))
