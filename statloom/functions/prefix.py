@@ -1,7 +1,8 @@
 """Prefix sums and ranks over a whole column without gathering it in one task.
 
 Rows are range-partitioned by value; each partition's total is one row, and their running sum is the only window that isn't
-partitioned. Within a partition the sum runs over its own rows.
+partitioned. Within a partition the sum runs over its own rows. The ranges come from a sample that another run may draw
+otherwise, so the partitioned rows are checkpointed: totals and rows are then of the same ranges.
 """
 
 from __future__ import annotations
@@ -9,11 +10,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from statloom.sources.shared import cut
+
 
 def running_sum(df: DataFrame, order: str, amount: Column, name: str) -> DataFrame:
     """df (unique in order) plus the inclusive sum of amount over all rows up to order, and name_total."""
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    parts = df.withColumn("_amount", amount).repartitionByRange(n, order).withColumn("_part", F.spark_partition_id())
+    parts = cut(df.withColumn("_amount", amount).repartitionByRange(n, order).withColumn("_part", F.spark_partition_id()))
     totals = parts.groupBy("_part").agg(F.sum("_amount").alias("_t"))
     whole = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
