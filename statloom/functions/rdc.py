@@ -35,6 +35,25 @@ def copula(x: np.ndarray) -> np.ndarray:
     return out
 
 
+def projection(x: np.ndarray, discrete: bool, rng: np.random.Generator):
+    """The features of a column as a function of its values, with ranks, values and projection learned from the sample x."""
+    known = np.sort(x[~np.isnan(x)])
+    values = np.unique(known)
+    hot = discrete and len(values) <= ONE_HOT_VALUES
+    shares = np.array([np.mean(x == v) for v in values]) if hot else None
+    w = rng.normal(size=((len(values) if hot else 1) + 1, K))
+
+    def f(y: np.ndarray) -> np.ndarray:
+        if hot:
+            u = np.where(y[:, None] == values[None], 1.0, 1.0 - shares[None])
+        else:
+            u = (np.searchsorted(known, np.nan_to_num(y, nan=-np.inf), "right") / max(1, len(known)))[:, None]
+        u = np.c_[u, np.ones(len(y))]
+        return np.sin(SCALE / u.shape[1] * u @ w)
+
+    return f
+
+
 def features(x: np.ndarray, discrete: bool, rng: np.random.Generator) -> np.ndarray:
     if discrete and len(values := np.unique(x[~np.isnan(x)])) <= ONE_HOT_VALUES:
         blocks = [np.where(x == v, 1.0, 1.0 - np.mean(x == v)) for v in values]  # the copula of a 0/1 column

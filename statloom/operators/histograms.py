@@ -6,38 +6,55 @@ neighbouring values, PAD beyond the first and last.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from statloom.functions.prefix import running_sum, value_counts
+from statloom.sources.shared import cut
 
 #: Fixed value: how far the outermost bins reach beyond the data.
 PAD = 0.1
+#: Corners that a completed grid may have.
+GRID = 50_000_000
 
 
 def histogram(df: DataFrame, column: str, alpha: float = 1.0) -> DataFrame:
-    """One bin per distinct value, smoothed by alpha: (lo, hi, v, n, pdf, cdf, non_null)."""
+    """One bin per distinct value, smoothed by alpha: (lo, hi, v, n, pdf, cdf, non_null).
+
+    Values are range-partitioned once. A value's neighbours are in its own partition, but for the outermost, whose neighbours
+    come with the partitions' totals, one row each.
+    """
+    spark = df.sparkSession
     counts = value_counts(df, column)
-    ranked = running_sum(counts, "v", F.lit(1), "r")
-    near = ranked.select(F.col("r").alias("_r"), F.col("v").alias("_v"))
-    prev, nxt = near.withColumnsRenamed({"_r": "pr", "_v": "pv"}), near.withColumnsRenamed({"_r": "nr", "_v": "nv"})
-    bins = ranked.join(prev, F.col("pr") == F.col("r") - 1, "left").join(nxt, F.col("nr") == F.col("r") + 1, "left")
-    lo = F.coalesce(F.col("pv") + (F.col("v") - F.col("pv")) / 2, F.col("v") - PAD)
-    hi = F.coalesce(F.col("v") + (F.col("nv") - F.col("v")) / 2, F.col("v") + PAD)
-    all_rows = df.agg(F.count("*").alias("_all"))
-    sums = counts.agg(F.sum("n").alias("_n"))
-    bins = bins.select("v", lo.alias("lo"), hi.alias("hi"), "n", F.col("r_total").alias("bins")).crossJoin(F.broadcast(sums.crossJoin(all_rows)))  # one row
-    bins = bins.withColumn("pdf", (F.col("n") + alpha) / (F.col("_n") + F.col("bins") * alpha))
-    done = running_sum(bins, "v", F.col("n") + alpha, "c")
-    return done.select("lo", "hi", "v", "n", "pdf", (F.col("c") / F.col("c_total")).alias("cdf"), (F.col("_n") / F.col("_all")).alias("non_null"))
+    parts = cut(counts.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "v").withColumn("_part", F.spark_partition_id()))  # its ranges must not be drawn twice
+    totals = parts.groupBy("_part").agg(F.sum("n").alias("_s"), F.count("*").alias("_k"), F.min("v").alias("_first"), F.max("v").alias("_last"))
+    order = Window.orderBy("_part")
+    before, whole = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    totals = totals.select(
+        "_part", F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_s"), F.coalesce(F.sum("_k").over(before), F.lit(0)).alias("_k"),
+        F.sum("_s").over(whole).alias("_n"), F.sum("_k").over(whole).alias("_bins"), F.lag("_last").over(order).alias("_last"), F.lead("_first").over(order).alias("_first"),
+    )
+    own = Window.partitionBy("_part").orderBy("v")
+    near = parts.select("*", F.lag("v").over(own).alias("_pv"), F.lead("v").over(own).alias("_nv"), F.sum("n").over(own.rowsBetween(Window.unboundedPreceding, 0)).alias("_c"), F.row_number().over(own).alias("_r"))
+    bins = near.join(F.broadcast(totals), "_part").crossJoin(F.broadcast(df.agg(F.count("*").alias("_all"))))  # a row for each partition, and one row
+    pv, nv, v, alpha = F.coalesce("_pv", "_last"), F.coalesce("_nv", "_first"), F.col("v"), F.lit(alpha)
+    lo, hi = F.coalesce(pv + (v - pv) / 2, v - PAD), F.coalesce(v + (nv - v) / 2, v + PAD)
+    total = F.col("_n") + F.col("_bins") * alpha
+    return bins.select(lo.alias("lo"), hi.alias("hi"), "v", "n", ((F.col("n") + alpha) / total).alias("pdf"), ((F.col("_s") + F.col("_c") + (F.col("_k") + F.col("_r")) * alpha) / total).alias("cdf"), (F.col("_n") / F.col("_all")).alias("non_null"))
 
 
 def width_bins(df: DataFrame, column: str, bins: int | None = None, alpha: float = 0.0) -> DataFrame:
     """Equal-width bins of a real column; their number by the Freedman-Diaconis rule if not given: (bin, lo, hi, n, pdf)."""
     v = F.col(column).cast("double")
     vals = df.select(v.alias("v")).where(F.col("v").isNotNull() & ~F.isnan("v"))
-    s = vals.agg(F.min("v").alias("a"), F.max("v").alias("b"), F.count("*").alias("n"), F.percentile("v", F.array(F.lit(0.25), F.lit(0.75))).alias("q"))
-    width = 2 * (F.col("q")[1] - F.col("q")[0]) / F.pow("n", F.lit(1 / 3))
+    s = vals.agg(F.min("v").alias("a"), F.max("v").alias("b"), F.count("*").alias("n"))
+    if not bins:
+        from statloom.operators.rows import quantiles
+
+        q = quantiles(vals, "v", [0.25, 0.75])
+        width = 2 * F.lit(float(q[1][1] - q[1][0]) if q else 0.0) / F.pow("n", F.lit(1 / 3))
     number = F.lit(bins) if bins else F.when((width > 0) & (F.col("b") > F.col("a")), F.ceil((F.col("b") - F.col("a")) / width)).otherwise(1)
     s = s.select("a", "b", "n", F.greatest(number, F.lit(1)).cast("int").alias("k"))
     at = F.when(F.col("b") > F.col("a"), F.least(F.floor((F.col("v") - F.col("a")) / (F.col("b") - F.col("a")) * F.col("k")), F.col("k") - 1)).otherwise(0).cast("int")
@@ -48,6 +65,19 @@ def width_bins(df: DataFrame, column: str, bins: int | None = None, alpha: float
     return grid.join(counted, "bin", "left").select("bin", (F.col("a") + F.col("bin") * step).alias("lo"), (F.col("a") + (F.col("bin") + 1) * step).alias("hi"), c.alias("n"), ((c + alpha) / (F.col("n") + alpha * F.col("k"))).alias("pdf"))
 
 
+def densities(bins: DataFrame) -> DataFrame:
+    """(lo, hi, v, density): each bin's mass by its width, and the value that stands for it."""
+    return bins.select("lo", "hi", "v", (F.col("pdf") / (F.col("hi") - F.col("lo"))).alias("density"))
+
+
+def conditional_histogram(df: DataFrame, column: str, condition: str, cuts: list[float], alpha: float = 1.0) -> DataFrame:
+    """Conditional leaf: (part, v, n, pdf), the smoothed distribution of column within each range of condition; part i ends with cuts[i]."""
+    part = sum(((F.col(condition) > c).cast("int") for c in cuts), F.lit(0))
+    n = df.where(F.col(column).isNotNull() & F.col(condition).isNotNull()).groupBy(part.alias("part"), F.col(column).cast("double").alias("v")).agg(F.count("*").alias("n"))
+    total = n.groupBy("part").agg(F.sum("n").alias("_n"), F.count("*").alias("_k"))  # one row for each range
+    return n.join(F.broadcast(total), "part").select("part", "v", "n", ((F.col("n") + alpha) / (F.col("_n") + alpha * F.col("_k"))).alias("pdf"))
+
+
 def cells(df: DataFrame, columns: list[str]) -> DataFrame:
     """Sparse n-d histogram of rows without nulls: the columns as doubles, n, pdf."""
     rows = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).dropna()
@@ -57,11 +87,16 @@ def cells(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def cumulated_cells(cells_df: DataFrame, columns: list[str]) -> DataFrame:
-    """Inclusive n-d prefix sums over the cells that there are, completed to the grid of the observed values."""
-    grid = None
+    """Inclusive n-d prefix sums over the cells that there are, completed to the grid of the observed values.
+
+    The grid of all corners is the result's size; it may have GRID corners at most. Each axis is sent to all tasks as one array."""
+    axes = cells_df.agg(*[F.array_sort(F.collect_set(c)).alias(c) for c in columns])
+    size = cells_df.agg(*[F.count_distinct(c).alias(c) for c in columns]).first()
+    if math.prod(size) > GRID:
+        raise ValueError(f"the grid has more than {GRID} corners")
+    grid = axes.select(*columns)
     for c in columns:
-        axis = cells_df.select(c).distinct()
-        grid = axis if grid is None else grid.crossJoin(axis)  # the grid of all corners is the result's size
+        grid = grid.withColumn(c, F.explode(c))
     out = grid.join(cells_df.select(*columns, "pdf"), columns, "left").withColumn("cdf", F.coalesce("pdf", F.lit(0.0)))
     for c in columns:
         rest = [x for x in columns if x != c]
@@ -111,10 +146,10 @@ def exact_stats(df: DataFrame, column: str) -> DataFrame:
 def joint_table(df: DataFrame, columns: list[str]) -> DataFrame:
     """The joint distribution of binary columns: one row for each of the 2**d combinations."""
     seen = cells(df, columns)
-    grid = None
-    for c in columns:
-        axis = df.sparkSession.range(2).select(F.col("id").cast("double").alias(c))
-        grid = axis if grid is None else grid.crossJoin(axis)  # 2**d rows, which is the result's size
+    if 2 ** len(columns) > GRID:
+        raise ValueError(f"the grid has more than {GRID} corners")
+    grid = df.sparkSession.range(2 ** len(columns))  # one row for each combination, which is the result's size
+    grid = grid.select(*[F.shiftright("id", i).bitwiseAND(F.lit(1)).cast("double").alias(c) for i, c in enumerate(columns)])
     return grid.join(seen, columns, "left").select(*columns, F.coalesce("n", F.lit(0)).cast("long").alias("n"), F.coalesce("pdf", F.lit(0.0)).alias("pdf"))
 
 

@@ -1,21 +1,39 @@
 """Predicates over leaves: each takes a table of bins (or exact values) and a table of queries, one row per query.
 
-Query batches and bins are joined by range. A leaf has a bounded number of bins, so the smaller side decides the plan.
+Query batches and bins are joined by range. The side that is small by count is sent to all tasks; if neither is, the queries are
+sent in runs of bounded size, so that no plan pairs two large sides by shuffling them.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+#: Rows of a side that a join may send to every task.
+MOST = 100_000
+
+
+def _meet(queries: DataFrame, bins: DataFrame, on: Column, most: int = MOST) -> DataFrame:
+    """queries.join(bins, on) for a condition that isn't an equality."""
+    if queries.limit(most + 1).count() <= most:
+        return bins.join(F.broadcast(queries), on)
+    if bins.limit(most + 1).count() <= most:
+        return queries.join(F.broadcast(bins), on)
+    runs = -(-2 * queries.count() // most)  # of about half the bound, by a hash of the query
+    run = F.pmod(F.xxhash64("query_id"), F.lit(runs))
+    return reduce(DataFrame.unionByName, [bins.join(F.broadcast(queries.where(run == i)), on) for i in range(runs)])
+
+
 def _complete(queries: DataFrame, found: DataFrame, column: str, missing: float = 0.0) -> DataFrame:
     return queries.select("query_id").join(found, "query_id", "left").select("query_id", F.coalesce(column, F.lit(missing)).alias(column))
 
 
 def point_probability(bins: DataFrame, queries: DataFrame) -> DataFrame:
     """queries (query_id, x) -> p of the bin that holds x, times the non-null share; a null x is marginalised to 1."""
-    hit = queries.join(bins, (F.col("x") > F.col("lo")) & (F.col("x") <= F.col("hi"))).select("query_id", (F.col("pdf") * F.col("non_null")).alias("p"))
+    hit = _meet(queries, bins, (F.col("x") > F.col("lo")) & (F.col("x") <= F.col("hi"))).select("query_id", (F.col("pdf") * F.col("non_null")).alias("p"))
     none = queries.where("x is null").select("query_id", F.lit(1.0).alias("p"))
     return _complete(queries, hit.union(none), "p")
 
@@ -23,7 +41,7 @@ def point_probability(bins: DataFrame, queries: DataFrame) -> DataFrame:
 def range_probability(bins: DataFrame, queries: DataFrame) -> DataFrame:
     """queries (query_id, lo, hi), closed, infinite ends allowed -> p: the mass of all bins that the range meets."""
     q = queries.select("query_id", F.col("lo").alias("qlo"), F.col("hi").alias("qhi"))
-    hit = q.join(bins, (F.col("qhi") > F.col("lo")) & (F.col("qlo") <= F.col("hi")) & (F.col("qlo") <= F.col("qhi")))
+    hit = _meet(q, bins, (F.col("qhi") > F.col("lo")) & (F.col("qlo") <= F.col("hi")) & (F.col("qlo") <= F.col("qhi")))
     return _complete(queries, hit.groupBy("query_id").agg(F.least(F.sum(F.col("pdf") * F.col("non_null")), F.lit(1.0)).alias("p")), "p")
 
 
@@ -32,7 +50,7 @@ def interval_probability(leaf: DataFrame, queries: DataFrame) -> DataFrame:
     q = queries.select("query_id", F.explode("intervals").alias("i"))
     low = (F.col("v") > F.col("i.lo")) | ((F.col("v") == F.col("i.lo")) & F.col("i.lo_inc"))
     high = (F.col("v") < F.col("i.hi")) | ((F.col("v") == F.col("i.hi")) & F.col("i.hi_inc"))
-    hit = q.join(leaf, low & high).groupBy("query_id").agg(F.sum("p").alias("p"))
+    hit = _meet(q, leaf, low & high).groupBy("query_id").agg(F.sum("p").alias("p"))
     return _complete(queries, hit, "p")
 
 
@@ -50,14 +68,14 @@ def not_null_probability(df: DataFrame, column: str) -> DataFrame:
 def range_expectation(leaf: DataFrame, queries: DataFrame, power: int = 1) -> DataFrame:
     """E[v^power * 1(lo <= v <= hi)] over all rows; power may be negative, then v = 0 is left out."""
     q = queries.select("query_id", F.col("lo").alias("qlo"), F.col("hi").alias("qhi"))
-    hit = q.join(leaf, F.col("v").between(F.col("qlo"), F.col("qhi")) & ((F.col("v") != 0) | F.lit(power > 0)))
+    hit = _meet(q, leaf, F.col("v").between(F.col("qlo"), F.col("qhi")) & ((F.col("v") != 0) | F.lit(power > 0)))
     return _complete(queries, hit.groupBy("query_id").agg(F.sum(F.col("p") * F.pow("v", F.lit(power))).alias("e")), "e")
 
 
 def distinct_in_range(leaf: DataFrame, queries: DataFrame) -> DataFrame:
     """(query_id, v) for each distinct value with positive mass in the range."""
     q = queries.select("query_id", F.col("lo").alias("qlo"), F.col("hi").alias("qhi"))
-    return q.join(leaf.where("p > 0"), F.col("v").between(F.col("qlo"), F.col("qhi"))).select("query_id", "v")
+    return _meet(q, leaf.where("p > 0"), F.col("v").between(F.col("qlo"), F.col("qhi"))).select("query_id", "v")
 
 
 def box_probability(cells: DataFrame, queries: DataFrame, columns: list[str]) -> DataFrame:
@@ -65,7 +83,7 @@ def box_probability(cells: DataFrame, queries: DataFrame, columns: list[str]) ->
     inside = F.lit(True)
     for c in columns:
         inside = inside & F.col(c).between(F.col(f"{c}_lo"), F.col(f"{c}_hi"))
-    hit = queries.join(cells, inside).groupBy("query_id").agg(F.sum("pdf").alias("p"))
+    hit = _meet(queries, cells, inside).groupBy("query_id").agg(F.sum("pdf").alias("p"))
     return _complete(queries, hit, "p")
 
 
@@ -79,7 +97,7 @@ def box_probability_by_corners(cumulated: DataFrame, queries: DataFrame, columns
             low = mask >> k & 1
             sign *= -1 if low else 1
             at = at & (F.col(c) < F.col(f"{c}_lo") if low else F.col(c) <= F.col(f"{c}_hi"))
-        part = q.join(cumulated, at).groupBy("query_id").agg((F.max("cdf") * sign).alias("s"))  # prefix sums grow along every axis
+        part = _meet(q, cumulated, at).groupBy("query_id").agg((F.max("cdf") * sign).alias("s"))  # prefix sums grow along every axis
         corners = part if corners is None else corners.union(part)
     return _complete(queries, corners.groupBy("query_id").agg(F.sum("s").alias("p")), "p")
 
@@ -90,14 +108,14 @@ def piecewise_range_probability(segments: DataFrame, queries: DataFrame) -> Data
     a, b = F.greatest("qlo", "x0"), F.least("qhi", "x1")
     slope = (F.col("y1") - F.col("y0")) / (F.col("x1") - F.col("x0"))
     at = lambda x: F.col("y0") + slope * (x - F.col("x0"))
-    hit = q.join(segments, (F.col("qhi") > F.col("x0")) & (F.col("qlo") < F.col("x1"))).groupBy("query_id").agg(F.sum((b - a) * (at(a) + at(b)) / 2).alias("p"))
+    hit = _meet(q, segments, (F.col("qhi") > F.col("x0")) & (F.col("qlo") < F.col("x1"))).groupBy("query_id").agg(F.sum((b - a) * (at(a) + at(b)) / 2).alias("p"))
     return _complete(queries, hit, "p")
 
 
 def piecewise_density(segments: DataFrame, queries: DataFrame) -> DataFrame:
     """Density at x by linear interpolation; 0 outside."""
     y = F.col("y0") + (F.col("y1") - F.col("y0")) * (F.col("x") - F.col("x0")) / (F.col("x1") - F.col("x0"))
-    hit = queries.join(segments, (F.col("x") >= F.col("x0")) & (F.col("x") < F.col("x1"))).select("query_id", y.alias("y"))
+    hit = _meet(queries, segments, (F.col("x") >= F.col("x0")) & (F.col("x") < F.col("x1"))).select("query_id", y.alias("y"))
     return _complete(queries, hit, "y")
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -33,6 +35,24 @@ def kmeans_split(df: DataFrame, columns: list[str], k: int = CLUSTERS, seed: int
     return model.transform(v).drop("_v"), [np.asarray(c) for c in model.clusterCenters()]
 
 
+def kmeans(x: np.ndarray, k: int = CLUSTERS, seed: int = SEED, rounds: int = 50) -> list[np.ndarray]:
+    """Centres of k clusters of the rows of x, a bounded sample; fewer if it has fewer different rows."""
+    rng = np.random.default_rng(seed)
+    centres = x[rng.integers(len(x))][None, :]
+    while len(centres) < k:
+        far = ((x[:, None, :] - centres[None]) ** 2).sum(axis=2).min(axis=1)
+        if far.sum() <= 0:
+            break
+        centres = np.vstack([centres, x[rng.choice(len(x), p=far / far.sum())]])
+    for _ in range(rounds):
+        at = ((x[:, None, :] - centres[None]) ** 2).sum(axis=2).argmin(axis=1)
+        new = np.stack([x[at == i].mean(axis=0) if (at == i).any() else c for i, c in enumerate(centres)])
+        if np.allclose(new, centres, rtol=1e-9, atol=1e-12):
+            break
+        centres = new
+    return list(centres)
+
+
 def gmm_split(df: DataFrame, columns: list[str], k: int = CLUSTERS, seed: int = SEED, fit_rows: int = FIT_ROWS) -> tuple[DataFrame, list[np.ndarray]]:
     """Gaussian mixture with full covariances; and the means."""
     from pyspark.ml.clustering import GaussianMixture
@@ -48,14 +68,64 @@ def nearest_centre(df: DataFrame, columns: list[str], centres: list[np.ndarray])
     return df.withColumn("part", F.array_min(F.array(*far))["i"])
 
 
+def grid_split(df: DataFrame, columns: list[str], cuts: int = 2) -> DataFrame:
+    """Equal-width grid: each column's range in `cuts` parts; `part` numbers the cells, the first column varying fastest."""
+    ends = df.agg(*[f(c).cast("double").alias(f"{n}{i}") for i, c in enumerate(columns) for n, f in (("lo", F.min), ("hi", F.max))]).first()
+    part = F.lit(0)
+    for i, c in enumerate(columns):
+        lo, hi = ends[f"lo{i}"], ends[f"hi{i}"]
+        at = F.least(F.floor((F.col(c) - lo) / (hi - lo) * cuts), F.lit(cuts - 1)) if lo is not None and lo < hi else F.lit(0)
+        part = part + at * cuts**i
+    return df.withColumn("part", part.cast("int"))
+
+
+def rectangles(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(part, <c>_lo, <c>_hi, n): the box that bounds each cluster of a split; with it a cluster can be told by ranges of its columns."""
+    return df.groupBy("part").agg(*[f(c).cast("double").alias(f"{c}_{n}") for c in columns for n, f in (("lo", F.min), ("hi", F.max))], F.count("*").alias("n"))
+
+
+def rectangle_split(df: DataFrame, columns: list[str], k: int = CLUSTERS, seed: int = SEED) -> DataFrame:
+    """k-means clusters approximated by boxes: a row goes to the first box that holds it, and every row is in its own cluster's."""
+    parted, _ = kmeans_split(df, columns, k, seed)
+    part = F.lit(None).cast("int")
+    for r in sorted(rectangles(parted, columns).collect(), key=lambda r: -r.part):  # k rows
+        inside = F.lit(True)
+        for c in columns:
+            inside = inside & F.col(c).between(r[f"{c}_lo"], r[f"{c}_hi"])
+        part = F.when(inside, F.lit(r.part)).otherwise(part)
+    return parted.withColumn("part", part)
+
+
+def rdc_split(df: DataFrame, columns: list[str], discrete: list[bool], k: int = CLUSTERS, seed: int = SEED, fit_rows: int = FIT_ROWS) -> DataFrame:
+    """k-means in the feature space of the dependence coefficient. Ranks and centres come from a bounded sample; all rows are mapped."""
+    from collections.abc import Iterator
+
+    import pandas as pd
+
+    from statloom.functions.rdc import projection, sample_matrix
+
+    x = sample_matrix(df, columns, min(fit_rows, 50_000), seed)
+    if not len(x):
+        return df.withColumn("part", F.lit(0))
+    maps = [projection(x[:, i], discrete[i], np.random.default_rng([seed, i])) for i in range(len(columns))]
+    centres = np.stack(kmeans(np.concatenate([f(x[:, i]) for i, f in enumerate(maps)], axis=1), k, seed))
+
+    def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            y = np.concatenate([f(b[c].to_numpy(float, na_value=np.nan)) for c, f in zip(columns, maps, strict=True)], axis=1) if len(b) else np.zeros((0, centres.shape[1]))
+            yield b.assign(part=((y[:, None, :] - centres[None]) ** 2).sum(axis=2).argmin(axis=1).astype("int32"))
+
+    return df.mapInPandas(assign, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema), "part int"]))
+
+
 def median_split(df: DataFrame, column: str) -> tuple[DataFrame, list[tuple[float, float]]]:
     """One part per value for up to two values, else at the median; with the tight range of each part."""
-    s = df.agg(F.min(column).alias("lo"), F.max(column).alias("hi"), F.percentile(column, 0.5).alias("m")).first()
     c = F.col(column)
-    if s.lo is None:
+    s = quantiles(df, column, [0.5])
+    if s is None:
         return df.withColumn("part", F.lit(0)), []
-    two = df.select(c).where(c.isNotNull()).distinct().limit(3).count() <= 2
-    upper = (c != s.lo) if two else (c > s.m) if s.m == s.lo else (c >= s.m)
+    lo, (m,), distinct = s
+    upper = (c != lo) if distinct <= 2 else (c > m) if m == lo else (c >= m)
     out = df.withColumn("part", upper.cast("int"))
     ranges = {r.part: (float(r.lo), float(r.hi)) for r in out.where("part is not null").groupBy("part").agg(F.min(column).alias("lo"), F.max(column).alias("hi")).collect()}  # two rows
     return out, [ranges[i] for i in sorted(ranges)]
@@ -89,13 +159,27 @@ def split_attribute(rdc: np.ndarray, scope: list[int], condition: list[int], use
     return min(condition, key=lambda c: (float(f(rdc[c, scope])), condition.index(c)))
 
 
-def interval_entropies(df: DataFrame, column: str) -> DataFrame:
-    """(i, j, h): entropy in bits of the distribution over the consecutive values i..j-1, renormalised, of a discrete column."""
-    ranked = running_sum(value_counts(df, column), "v", F.lit(1), "r").select((F.col("r") - 1).cast("int").alias("r"), "n")
-    i, j = ranked.select(F.col("r").alias("i")), ranked.select((F.col("r") + 1).alias("j"))
-    spans = i.join(j, F.col("j") > F.col("i"))
-    inside = spans.join(ranked, (F.col("r") >= F.col("i")) & (F.col("r") < F.col("j"))).groupBy("i", "j")
-    return inside.agg((F.log2(F.sum("n")) - F.sum(F.col("n") * F.log2("n")) / F.sum("n")).alias("h"))
+def interval_entropies(df: DataFrame, column: str, most: int = 1200) -> DataFrame:
+    """(i, j, h): entropy in bits of the distribution over the consecutive values i..j-1, renormalised, of a discrete column of at most
+    `most` values.
+
+    From prefix sums of n and n log n: one row of arrays, from which every pair (i, j) follows without a join.
+    """
+    counts = value_counts(df, column)
+    k = counts.limit(most + 1).count()
+    if k > most:
+        raise ValueError(f"{column} has more than {most} values")
+    row = counts.agg(F.sort_array(F.collect_list(F.struct("v", "n"))).alias("x"))  # at most `most` pairs
+    spans = row.select("x", F.explode(F.sequence(F.lit(0), F.size("x") - 1)).alias("i")).where(F.size("x") > 0)
+    part = spans.select("i", F.slice("x", F.col("i") + 1, F.size("x")).alias("x"))
+    first = F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("e"), F.array().cast("array<double>").alias("h"))
+
+    def step(s, y):
+        n, e = s["n"] + y["n"], s["e"] + y["n"] * F.log2(y["n"])
+        return F.struct(n.alias("n"), e.alias("e"), F.concat(s["h"], F.array(F.log2(n) - e / n)).alias("h"))
+
+    sums = part.select("i", F.posexplode(F.aggregate("x", first, step)["h"]).alias("k", "h"))
+    return sums.select(F.col("i").cast("int").alias("i"), (F.col("i") + F.col("k") + 1).cast("int").alias("j"), "h")
 
 
 def binary_conditioning_scores(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -114,30 +198,82 @@ def binary_conditioning_scores(df: DataFrame, columns: list[str]) -> DataFrame:
     return sides.groupBy("column").agg((F.sum(F.col("n") * (ll + F.log(F.col("n") / total))) / total).alias("score"))
 
 
+def conditioning_column(x: np.ndarray) -> int:
+    """On a sample of binary columns, the one whose two values explain the others best: the scores of binary_conditioning_scores()."""
+    n, best = len(x), (-np.inf, 0)
+    for c in range(x.shape[1]):
+        score = 0.0
+        for v in (0, 1):
+            side = x[x[:, c] == v]
+            if len(side):
+                ones = np.nansum(np.delete(side, c, 1), axis=0)
+                p = (ones + 0.1) / (len(side) + 0.2)
+                score += ((ones * np.log(p) + (len(side) - ones) * np.log(1 - p)).sum() + len(side) * np.log(len(side) / n)) / n
+        if 0 < np.nanmean(x[:, c]) < 1 and score > best[0]:
+            best = (score, c)
+    return best[1]
+
+
 def density_split(df: DataFrame, columns: list[str], eps: float = 2.0, least: int = 10) -> DataFrame:
-    """DBSCAN: (row id, part) with part null for noise. df needs a unique long column `row`.
+    """DBSCAN: (row id, part) with part the least core row of its cluster, null for noise. df needs a unique long column `row`.
 
-    Neighbours come from a grid of eps-cells and their neighbouring cells; core points are joined by connected components.
+    A grid's cells are so small that all rows of one are neighbours. So a cell of `least` rows is core as a whole and needs no
+    comparison; other rows count their neighbours in the cells around. Core rows of a cell are one group, and groups are joined
+    by connected components. A row near cores of several clusters goes to the least.
     """
-    cell = [F.floor(F.col(c) / eps).cast("long") for c in columns]
-    at = df.select("row", *columns, *[x.alias(f"_g{i}") for i, x in enumerate(cell)])
-    spread = at
-    for i in range(len(columns)):
-        spread = spread.withColumn(f"_g{i}", F.explode(F.array(F.col(f"_g{i}") - 1, F.col(f"_g{i}"), F.col(f"_g{i}") + 1)))
+    side = eps / math.sqrt(len(columns))  # any two rows of a cell are neighbours
+    at = cut(df.select("row", *columns, *[F.floor(F.col(c) / side).cast("long").alias(f"_g{i}") for i, c in enumerate(columns)]))
     keys = [f"_g{i}" for i in range(len(columns))]
-    far = sum(((F.col(f"p.{c}") - F.col(f"q.{c}")) ** 2 for c in columns), F.lit(0.0))
-    near = at.alias("p").join(spread.alias("q"), keys).where(far <= eps * eps).select(F.col("p.row").alias("a"), F.col("q.row").alias("b"))
-    core = near.groupBy("a").count().where(F.col("count") >= least).select(F.col("a").alias("core"))
-    links = near.join(core.withColumnRenamed("core", "a"), "a", "left_semi")
-    label = core.select(F.col("core").alias("row"), F.col("core").alias("part"))
-    while True:  # hash-to-min over core points; each round is cut
-        inner = links.join(label.withColumnRenamed("row", "b"), "b").groupBy("a").agg(F.min("part").alias("m"))
-        new = cut(label.join(inner, F.col("row") == F.col("a"), "left").select("row", F.least("part", "m").alias("part")))
-        if not new.join(label.withColumnRenamed("part", "old"), "row").where("part <> old").limit(1).count():
+    cells = at.groupBy(*keys).agg(F.count("*").alias("n"), F.min("row").alias("least"))
+    reach = math.ceil(math.sqrt(len(columns)))
+    # dense cells are core as a whole; rows of other cells are compared with the rows of cells in reach, which few share
+    around = at.join(cells, keys)
+    dense, rest = around.where(F.col("n") >= least), around.where(F.col("n") < least)
+    spread = _around(at, keys, reach)
+    far = sum(((F.col(f"p.{c}") - F.col(f"q.{c}")) ** 2 for c in columns), F.lit(0.0)) <= eps * eps
+    near = rest.alias("p").join(spread.alias("q"), keys).where(far).groupBy("p.row").agg(F.count("*").alias("k"))
+    core = cut(dense.select("row", *keys, *columns).union(rest.join(near.where(F.col("k") >= least).select("row"), "row", "left_semi").select("row", *keys, *columns)))
+    # core rows of a cell are one group; groups are joined where two of their rows are near
+    groups = core.groupBy(*keys).agg(F.min("row").alias("group"))
+    named = cut(core.join(groups, keys))
+    moved = cut(_around(named.select("row", F.col("group").alias("other"), *columns, *keys), keys, reach))
+    links = named.alias("p").join(moved.alias("q"), keys).where(F.col("p.group") < F.col("q.other")).where(far).select(F.col("p.group").alias("a"), F.col("q.other").alias("b")).distinct()
+    label = cut(groups.select(F.col("group").alias("g"), F.col("group").alias("part")))
+    both = cut(links.union(links.select("b", "a")))
+    while True:  # the least label among neighbours, then that label's own; each round is cut
+        low = both.join(label, F.col("b") == F.col("g")).groupBy("a").agg(F.min("part").alias("m"))
+        new = label.join(low, F.col("g") == F.col("a"), "left").select("g", F.least("part", "m").alias("part"))
+        up = new.select(F.col("g").alias("u"), F.col("part").alias("top"))
+        new = cut(new.join(up, F.col("part") == F.col("u"), "left").select("g", F.coalesce("top", "part").alias("part")))
+        if not new.join(label.withColumnRenamed("part", "old"), "g").where("part <> old").limit(1).count():
             break
         label = new
-    border = links.join(label.withColumnRenamed("row", "a"), "a").groupBy("b").agg(F.min("part").alias("part"))
-    return df.select("row").join(border, F.col("row") == F.col("b"), "left").select("row", "part")
+    inner = named.join(label, F.col("group") == F.col("g")).select("row", "part")
+    edge = at.join(core.select("row"), "row", "left_anti").alias("p").join(moved.alias("q"), keys).where(far).join(label, F.col("q.other") == F.col("g")).groupBy("p.row").agg(F.min("part").alias("part"))
+    return df.select("row").join(inner.union(edge), "row", "left").select("row", "part")
+
+
+def _around(df: DataFrame, keys: list[str], reach: int) -> DataFrame:
+    """Each row once for every cell of a grid (keys) up to reach steps from its own."""
+    for k in keys:
+        df = df.withColumn(k, F.explode(F.sequence(F.col(k) - reach, F.col(k) + reach)))
+    return df
+
+
+def quantiles(df: DataFrame, column: str, shares: list[float]) -> tuple[float, list[float], int] | None:
+    """The least value, exact quantiles (linear between neighbours), and the number of different values.
+
+    From running sums over ranges of the counted values: a task holds a range, and the driver receives two values for each quantile.
+    """
+    summed = running_sum(value_counts(df, column), "v", F.col("n"), "c")
+    ends = summed.agg(F.max("c_total").alias("n"), F.min("v").alias("lo"), F.count("*").alias("k")).first()
+    if not ends.n:
+        return None
+    at = [q * (ends.n - 1) for q in shares]
+    spots = sorted({int(np.floor(a)) for a in at} | {int(np.ceil(a)) for a in at})
+    holds = F.filter(F.array(*map(F.lit, spots)), lambda p: (F.col("c") > p) & (F.col("c") - F.col("n") <= p))
+    value = {p: r.v for r in summed.select("v", holds.alias("spots")).where(F.size("spots") > 0).collect() for p in r.spots}  # at most one row for each spot
+    return ends.lo, [value[int(np.floor(a))] + (a - np.floor(a)) * (value[int(np.ceil(a))] - value[int(np.floor(a))]) for a in at], ends.k
 
 
 def part_shares(df: DataFrame) -> DataFrame:
