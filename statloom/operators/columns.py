@@ -45,8 +45,9 @@ class ChowLiuTree:
         self.columns, self.parent, self.order, self.log_factor = columns, parent, order, log_factor
 
     @classmethod
-    def fit(cls, df: DataFrame, columns: list[str], alpha: float = TREE_ALPHA) -> ChowLiuTree:
-        d = len(columns)
+    def fit(cls, df: DataFrame, columns: list[str], alpha: float = TREE_ALPHA, parent: list[int] | None = None) -> ChowLiuTree:
+        """The tree of greatest mutual information; or that of the given parents, of which each comes before its children."""
+        d, given = len(columns), parent
         co, at = np.zeros((d, d)), {c: i for i, c in enumerate(columns)}
         n = 0
         for r in cooccurrences(df, columns).collect():  # d (d + 1) / 2 rows
@@ -59,7 +60,7 @@ class ChowLiuTree:
             joint[:, :, a, b] = (c + alpha) / (n + 4 * alpha)
         single = np.stack([1 - p, p], 1)
         mi = (joint * np.log(joint / (single[:, None, :, None] * single[None, :, None, :]))).sum((2, 3))
-        parent, order, best = [-1] * d, [0], [(mi[0, j], 0) for j in range(d)]
+        parent, order, best = given or [-1] * d, list(range(d)) if given else [0], [(mi[0, j], 0) for j in range(d)]
         while len(order) < d:
             j = max((j for j in range(d) if j not in order), key=lambda j: (best[j][0], -j))
             parent[j] = best[j][1]
@@ -72,10 +73,14 @@ class ChowLiuTree:
 
     def log_likelihood(self, x: np.ndarray) -> np.ndarray:
         """Of rows with NaN for unknown cells, which are summed out from the leaves of the tree to its root."""
-        msg = np.zeros((len(x), len(self.columns), 2))
-        out = np.zeros(len(x))
+        return self.log_mass(np.stack([self._evidence(x[:, j]) for j in range(x.shape[1])], 1))
+
+    def log_mass(self, evidence: np.ndarray) -> np.ndarray:
+        """Of sets of rows: evidence[i, j, v] is 0 where column j may be v, and hugely negative elsewhere."""
+        msg = np.zeros(evidence.shape)
+        out = np.zeros(len(evidence))
         for j in reversed(self.order):
-            t = self.log_factor[j][None, :, :] + msg[:, j, None, :] + self._evidence(x[:, j])[:, None, :]
+            t = self.log_factor[j][None, :, :] + msg[:, j, None, :] + evidence[:, j][:, None, :]
             top = t.max(axis=2)
             up = top + np.log(np.exp(t - top[:, :, None]).sum(axis=2))
             if self.parent[j] < 0:

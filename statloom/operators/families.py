@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-FAMILIES = ("gaussian", "lognormal", "exponential", "gamma", "poisson", "geometric", "bernoulli", "uniform")
+FAMILIES = ("gaussian", "lognormal", "exponential", "gamma", "poisson", "geometric", "bernoulli", "uniform", "negative_binomial")
 
 
 def _row(family: str, a: Column, b: Column, ok: Column) -> Column:
@@ -18,7 +18,8 @@ def fit(df: DataFrame, column: str) -> DataFrame:
     """(family, a, b) for every family that the data allow; textbook estimators.
 
     gaussian: mean, population deviation; lognormal: the same of logs; exponential: rate; gamma: shape (Minka's closed form)
-    and rate; poisson: rate; geometric (from 1): p; bernoulli: p of 1; uniform: ends.
+    and rate; poisson: rate; geometric (from 1): p; bernoulli: p of 1; uniform: ends; negative binomial (failures before the
+    a-th success): number of successes and p, by the mean and the variance, where that exceeds the mean.
     """
     v = F.col(column).cast("double")
     s = df.where(v.isNotNull()).agg(
@@ -39,10 +40,17 @@ def fit(df: DataFrame, column: str) -> DataFrame:
         _row("geometric", 1 / F.col("m"), none, whole & (F.col("lo") >= 1)),
         _row("bernoulli", F.col("ones"), none, whole & (F.col("lo") >= 0) & (F.col("hi") <= 1)),
         _row("uniform", F.col("lo"), F.col("hi"), F.col("hi") > F.col("lo")),
+        _row("negative_binomial", F.col("m") * F.col("m") / (F.col("sd") * F.col("sd") - F.col("m")), F.col("m") / (F.col("sd") * F.col("sd")), whole & (F.col("lo") >= 0) & (F.col("m") > 0) & (F.col("sd") * F.col("sd") > F.col("m"))),
     ]
     return s.select(F.explode(F.array(*rows)).alias("r")).where("r.ok").select("r.family", "r.a", "r.b")
 
 
+def fit_hypergeometric(df: DataFrame, column: str, population: int, draws: int) -> DataFrame:
+    """(a, b, c): population, the likeliest number of marked ones in it, draws; of counts of marked ones among so many draws."""
+    mean = df.agg(F.avg(column).alias("m"))
+    return mean.select(F.lit(float(population)).alias("a"), F.least(F.lit(float(population)), F.floor(F.col("m") / draws * (population + 1)).cast("double")).alias("b"), F.lit(float(draws)).alias("c"))
+
+
 def fit_categorical(df: DataFrame, column: str) -> DataFrame:
     n = df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("n"))
     return n.crossJoin(F.broadcast(df.agg(F.count(column).alias("_t")))).select(F.col(column).alias("value"), (F.col("n") / F.col("_t")).alias("p"))  # one row
@@ -64,7 +72,14 @@ def _log_factorial(k: Column) -> Column:
     return F.when(k < 20, small).otherwise(series)
 
 
-def log_density(family: str, x: Column, a: float, b: float | None = None) -> Column:
+def _log_gamma(x: Column) -> Column:
+    """log of the gamma function, by Stirling's series 10 further on (error under 1e-12)."""
+    y = x + 10
+    series = (y - 0.5) * F.log(y) - y + 0.5 * math.log(2 * math.pi) + 1 / (12 * y) - 1 / (360 * y * y * y) + 1 / (1260 * F.pow(y, F.lit(5))) - 1 / (1680 * F.pow(y, F.lit(7)))
+    return series - sum((F.log(x + i) for i in range(10)), F.lit(0.0))
+
+
+def log_density(family: str, x: Column, a: float, b: float | None = None, c: float = 0.0) -> Column:
     """Log density or mass; -infinity outside the support, 0 (marginalised) for null."""
     none = F.lit(float("-inf"))
     if family == "gaussian":
@@ -83,16 +98,36 @@ def log_density(family: str, x: Column, a: float, b: float | None = None) -> Col
         out = F.when(x == 1, math.log(a) if a > 0 else -math.inf).when(x == 0, math.log1p(-a) if a < 1 else -math.inf).otherwise(none)
     elif family == "uniform":
         out = F.when(x.between(a, b), -math.log(b - a)).otherwise(none)
+    elif family == "negative_binomial":
+        k = x.cast("double")
+        out = F.when((x >= 0) & (x == F.floor(x)), _log_gamma(k + a) - _log_gamma(k + 1) - math.lgamma(a) + a * math.log(b) + k * (math.log1p(-b) if b < 1 else -math.inf)).otherwise(none)
+    elif family == "hypergeometric":
+        k = x.cast("double")
+        choose = lambda n, r: math.lgamma(n + 1) - _log_gamma(r + 1) - _log_gamma(n - r + 1)
+        every = math.lgamma(a + 1) - math.lgamma(c + 1) - math.lgamma(a - c + 1)
+        out = F.when((x >= max(0.0, c - (a - b))) & (x <= min(b, c)) & (x == F.floor(x)), choose(b, k) + math.lgamma(a - b + 1) - _log_gamma(c - k + 1) - _log_gamma(a - b - c + k + 1) - every).otherwise(none)
     else:
         raise ValueError(family)
     return F.when(x.isNull(), 0.0).otherwise(out)
 
 
-def mode(family: str, a: float, b: float | None = None) -> float:
-    return {"gaussian": lambda: a, "lognormal": lambda: math.exp(a - b * b), "exponential": lambda: 0.0, "gamma": lambda: max(0.0, (a - 1) / b), "poisson": lambda: float(math.floor(a)), "geometric": lambda: 1.0, "bernoulli": lambda: float(a >= 0.5), "uniform": lambda: (a + b) / 2}[family]()
+def mode(family: str, a: float, b: float | None = None, c: float = 0.0) -> float:
+    """Where the density or mass is greatest; the middle, if it is so everywhere."""
+    return {
+        "gaussian": lambda: a,
+        "lognormal": lambda: math.exp(a - b * b),
+        "exponential": lambda: 0.0,
+        "gamma": lambda: max(0.0, (a - 1) / b),
+        "poisson": lambda: float(math.floor(a)),
+        "geometric": lambda: 1.0,
+        "bernoulli": lambda: float(a >= 0.5),
+        "uniform": lambda: (a + b) / 2,
+        "negative_binomial": lambda: float(math.floor((a - 1) * (1 - b) / b)) if a > 1 else 0.0,
+        "hypergeometric": lambda: float(math.floor((c + 1) * (b + 1) / (a + 2))),
+    }[family]()
 
 
-def moment(family: str, k: int, a: float, b: float | None = None) -> float:
+def moment(family: str, k: int, a: float, b: float | None = None, c: float = 0.0) -> float:
     """E[x^k] for k = 1 or 2."""
     mean, var = {
         "gaussian": lambda: (a, b * b),
@@ -103,6 +138,8 @@ def moment(family: str, k: int, a: float, b: float | None = None) -> float:
         "geometric": lambda: (1 / a, (1 - a) / a**2),
         "bernoulli": lambda: (a, a * (1 - a)),
         "uniform": lambda: ((a + b) / 2, (b - a) ** 2 / 12),
+        "negative_binomial": lambda: (a * (1 - b) / b, a * (1 - b) / b**2),
+        "hypergeometric": lambda: (c * b / a, c * (b / a) * (1 - b / a) * (a - c) / max(a - 1, 1)),
     }[family]()
     if k not in (1, 2):
         raise ValueError("moments of order 1 and 2 only")

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from statloom.plans import nodes as N
+from statloom.plans.export import as_text, from_text
 from statloom.plans.learn import Params, learn
 from statloom.sources.context import Context
 
@@ -99,7 +100,8 @@ class Model:
         return self._map(rows.select(keep, *scope), fn, ", ".join([f"{keep} long", *(f"{c} double" for c in scope)]))
 
     def em(self, rows: DataFrame, iterations: int = 5) -> Model:
-        """Sum weights by expectation maximisation: one pass over rows for each iteration; each task sends one row per sum node."""
+        """Sum weights, and parameters of Gaussian and Bernoulli leaves, by expectation maximisation: one pass over rows for each iteration;
+        each batch sends a few numbers per node."""
         scope, root = list(self.root.scope), N.copy(self.root)
         N.assign_ids(root)
         for _ in range(iterations):
@@ -113,6 +115,8 @@ class Model:
                 if isinstance(node, N.Sum):
                     w = np.array([new.get((node.id, k), 0.0) for k in range(len(node.children))]) + np.exp(-100)
                     node.weights = w / w.sum()
+                elif isinstance(node, N.Leaf) and node.fits:
+                    node.em_update(np.array([new.get((node.id, k), 0.0) for k in range(3)]))
         return Model(root, self.rows, self.spark)
 
     def marginal(self, keep: list[str]) -> Model:
@@ -127,12 +131,12 @@ class Model:
         N.assign_ids(self.root)
         nodes, edges, bins, cells = [], [], [], []
         for n in self.root.walk():
-            nodes.append((n.id, n.kind, list(n.scope), float(getattr(n, "rows", 0.0)), float(getattr(n, "non_null", 1.0)), bool(getattr(n, "discrete", True)), list(getattr(n, "condition", [])), self.rows))
+            nodes.append((n.id, n.kind, list(n.scope), float(getattr(n, "rows", 0.0)), float(getattr(n, "non_null", 1.0)), bool(getattr(n, "discrete", True)), list(getattr(n, "condition", [])), self.rows, _text(n)))
             for k, c in enumerate(n.children):
                 box = [(a, float(lo), float(hi)) for a, (lo, hi) in n.boxes[k].items()] if isinstance(n, N.Split) else []
                 centre = [float(v) for v in n.centres[k]] if isinstance(n, N.Sum) and n.centres else []
                 edges.append((n.id, k, c.id, float(n.weights[k]) if isinstance(n, N.Sum | N.Split) else 1.0, box, centre))
-            if isinstance(n, N.Leaf):
+            if type(n) is N.Leaf:
                 bins += [(n.id, i, *map(float, v)) for i, v in enumerate(zip(n.lo, n.hi, n.value, n.pdf, strict=True))]
             if isinstance(n, N.Joint):
                 cells += [(n.id, a.tolist(), b.tolist(), float(p)) for a, b, p in zip(n.low, n.high, n.pdf, strict=True)]
@@ -151,7 +155,9 @@ class Model:
         rows = 0
         for r in read("nodes", "id"):
             rows = r.table_rows
-            if r.kind == "leaf":
+            if r.text is not None:
+                made[r.id] = from_text(r.text)
+            elif r.kind == "leaf":
                 b = bins.get(r.id, [])
                 made[r.id] = N.Leaf(list(r.scope), lo=[x.lo for x in b], hi=[x.hi for x in b], pdf=[x.pdf for x in b], non_null=r.non_null, rows=r.rows, discrete=r.discrete)
                 made[r.id].value = np.array([x.value for x in b])
@@ -178,12 +184,17 @@ class Model:
         return cls(made[0], rows, spark)
 
 
-_NODES = "id int, kind string, scope array<string>, rows double, non_null double, discrete boolean, condition array<string>, table_rows long"
+_NODES = "id int, kind string, scope array<string>, rows double, non_null double, discrete boolean, condition array<string>, table_rows long, text string"
 _EDGES = "id int, position int, child int, weight double, box array<struct<column:string,lo:double,hi:double>>, centre array<double>"
 _BINS = "id int, bin int, lo double, hi double, value double, pdf double"
 _CELLS = "id int, low array<double>, high array<double>, pdf double"
 
 
+def _text(n: N.Node) -> str | None:
+    """The whole of a node of another kind than those that the tables hold."""
+    return None if type(n) in (N.Leaf, N.Joint, N.Sum, N.Product, N.Factorize, N.Split) else as_text(n)
+
+
 def _bounds(b: pd.DataFrame, scope: list[str]) -> tuple[N.Batch, N.Batch]:
     lo = {c: b[f"{c}_lo"].to_numpy(float, na_value=np.nan) for c in scope if f"{c}_lo" in b}
     hi = {c: b[f"{c}_hi"].to_numpy(float, na_value=np.nan) for c in scope if f"{c}_hi" in b}
@@ -198,3 +209,9 @@ def q_errors(estimates: DataFrame, truth: DataFrame) -> DataFrame:
     """(query_id, cardinality, truth, q_error) with max(est, true) / min(est, true), both at least 1."""
     e, t = F.greatest("cardinality", F.lit(1.0)), F.greatest(F.col("truth").cast("double"), F.lit(1.0))
     return estimates.join(truth, "query_id").select("query_id", "cardinality", "truth", (F.greatest(e, t) / F.least(e, t)).alias("q_error"))
+
+
+def error_percentiles(errors: DataFrame) -> DataFrame:
+    """(p50, p90, p95, p99, worst) of a workload's q-errors: one row for each query."""
+    at = F.percentile("q_error", F.array(*map(F.lit, (0.5, 0.9, 0.95, 0.99))))
+    return errors.agg(at.alias("p"), F.max("q_error").alias("worst")).select(*[F.col("p")[i].alias(f"p{n}") for i, n in enumerate((50, 90, 95, 99))], "worst")

@@ -1,13 +1,17 @@
 """The model: a rooted graph of a few hundred nodes at most, evaluated in batches of queries or rows.
 
-Kinds: leaf (one column), joint (several columns, sparse cells), sum (weights; row clusters), product (independent columns),
-factorize (left: weak columns; right: strong columns given the weak ones) and split (children valid in boxes of the condition
-columns). Batches are dictionaries of column -> array; NaN or a missing column means unknown.
+Kinds: leaf (one column; plans/shapes.py has more kinds of leaves), joint (several columns, sparse cells), sum (weights; row
+clusters), product (independent columns), factorize (left: weak columns; right: strong columns given the weak ones) and split
+(children valid in boxes of the condition columns). Batches are dictionaries of column -> array; NaN or a missing column means
+unknown.
+
+A leaf answers for itself by its methods; a new kind of node can also be taught to the evaluation by register().
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -24,6 +28,25 @@ class Node:
 
     kind = "node"
 
+    def __mul__(self, other: Node) -> Product:
+        """Independent parts."""
+        parts = [g for n in (self, other) for g in (n.children if isinstance(n, Product) else [n])]
+        return Product([c for g in parts for c in g.scope], parts)
+
+    def __rmul__(self, weight: float) -> Sum:
+        """A part of a mixture; parts are added to a mixture whose weights sum to 1."""
+        return Sum(list(self.scope), [self], weights=np.array([float(weight)]))
+
+    def __add__(self, other: Node) -> Sum:
+        a, b = (n if isinstance(n, Sum) else 1.0 * n for n in (self, other))
+        if set(a.scope) != set(b.scope):
+            raise ValueError("parts of a mixture have one scope")
+        return Sum(list(a.scope), [*a.children, *b.children], weights=np.r_[a.weights, b.weights])
+
+    def given(self, weak: Node) -> Factorize:
+        """This node's columns, modelled given those of weak."""
+        return Factorize([*weak.scope, *self.scope], [weak, self], condition=list(weak.scope))
+
     def walk(self) -> list[Node]:
         """All nodes, each once, parents before children."""
         out, seen, queue = [], set(), [self]
@@ -47,12 +70,17 @@ class Leaf(Node):
     rows: float = 0.0
     discrete: bool = True
     kind = "leaf"
+    #: Whether EM fits its parameters.
+    fits = False
 
     def __post_init__(self):
         self.lo, self.hi, self.pdf = (np.asarray(x, float) for x in (self.lo, self.hi, self.pdf))
         self.cum = np.r_[0.0, np.cumsum(self.pdf)]
         self.value = (self.lo + self.hi) / 2
 
+    def parameters(self) -> int:
+        return len(self.pdf)
+
     def range_mass(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
         i, j = np.searchsorted(self.hi, lo, "left"), np.searchsorted(self.lo, hi, "left")
         return np.where((j > i) & (lo <= hi), np.clip(self.cum[np.maximum(j, i)] - self.cum[i], 0, 1), 0.0) * self.non_null
@@ -79,6 +107,27 @@ class Leaf(Node):
     def mode(self) -> float:
         return float(self.value[int(np.argmax(self.pdf))]) if len(self.pdf) else math.nan
 
+    def partial(self, lo: np.ndarray, hi: np.ndarray, power: int) -> np.ndarray:
+        """E[x^power 1(lo <= x <= hi)]; of a negative power, without x = 0."""
+        with np.errstate(divide="ignore"):
+            f = np.where(self.value != 0, self.value.astype(float) ** power, 0.0 if power < 0 else 0.0**power)
+        cum = np.r_[0.0, np.cumsum(self.pdf * f)]
+        i, j = np.searchsorted(self.hi, lo, "left"), np.searchsorted(self.lo, hi, "left")
+        return np.where(j > i, cum[np.maximum(j, i)] - cum[i], 0.0) * self.non_null
+
+    def slope(self, x: np.ndarray) -> np.ndarray:
+        """Of the mass, between neighbouring bins."""
+        if len(self.pdf) < 2:
+            return np.zeros(len(x))
+        i = self.bin_of(x)
+        lo, hi = np.maximum(i - 1, 0), np.minimum(i + 1, len(self.pdf) - 1)
+        return np.where(i >= 0, (self.pdf[hi] - self.pdf[lo]) / np.maximum(self.value[hi] - self.value[lo], 1e-300) * self.non_null, 0.0)
+
+    def within(self, lo: float, hi: float) -> Leaf:
+        """The leaf given that lo <= x <= hi."""
+        p = self.pdf * ((self.hi >= lo) & (self.lo < hi))
+        return Leaf(self.scope, lo=self.lo, hi=self.hi, pdf=p / p.sum() if p.sum() else p, non_null=1.0, rows=self.rows, discrete=self.discrete)
+
     def draw(self, n: int, rng: np.random.Generator) -> np.ndarray:
         i = np.minimum(np.searchsorted(self.cum, rng.random(n) * self.cum[-1], "right") - 1, len(self.pdf) - 1)
         return self.value[i] if self.discrete else self.lo[i] + rng.random(n) * (self.hi[i] - self.lo[i])
@@ -165,8 +214,63 @@ def _meet(a: tuple[float, float] | None, b: tuple[float, float]) -> tuple[float,
     return b if a is None else (max(a[0], b[0]), min(a[1], b[1]))
 
 
+#: What register() was told: for each operation, a function for each kind of node.
+BEHAVIOUR: dict[str, dict[type, Callable]] = {k: {} for k in ("probability", "log_likelihood", "moments", "complete", "slope")}
+
+
+def register(kind: type, **functions: Callable) -> None:
+    """Teaches the evaluation a kind of node, or another way for one that it knows.
+
+    probability(node, lo, hi, m); likelihood(node, x, m) or log_likelihood(node, x, m), of which the other follows;
+    moments(node, k) -> {column: value}; complete(node, x, m, rng) -> batch; slope(node, x).
+    """
+    if (f := functions.pop("likelihood", None)) is not None:
+        functions["log_likelihood"] = lambda node, x, m: np.log(f(node, x, m))
+    if unknown := functions.keys() - BEHAVIOUR.keys():
+        raise ValueError(f"no such operation: {', '.join(sorted(unknown))}")
+    for k, g in functions.items():
+        BEHAVIOUR[k][kind] = g
+
+
+def behaviour(operation: str, node: Node) -> Callable | None:
+    return next((f for c in type(node).__mro__ if (f := BEHAVIOUR[operation].get(c)) is not None), None)
+
+
+def bottom_up(root: Node, functions: dict[type, Callable], results: dict[int, object] | None = None, **args) -> object:
+    """functions[kind](node, results of its children, **args) for each node once, children first; the root's result."""
+    results = {} if results is None else results
+    for n in reversed(_topological(root)):
+        f = next(functions[c] for c in type(n).__mro__ if c in functions)
+        results[id(n)] = f(n, [results[id(c)] for c in n.children], **args)
+    return results[id(root)]
+
+
+def top_down(root: Node, functions: dict[type, Callable], given: object = None, **args) -> dict[int, object]:
+    """functions[kind](node, what its parents gave it, **args) -> what it gives to each of its children; parents first. By node identity,
+    what each node was given."""
+    held: dict[int, list] = {id(n): [] for n in root.walk()}
+    held[id(root)].append(given)
+    for n in _topological(root):
+        f = next((functions[c] for c in type(n).__mro__ if c in functions), None)
+        for c, g in zip(n.children, f(n, held[id(n)], **args) if f else [None] * len(n.children), strict=True):
+            held[id(c)].append(g)
+    return held
+
+
+def rebuild_scopes(root: Node) -> Node:
+    """Scopes of inner nodes made anew from their children's."""
+    for n in reversed(_topological(root)):
+        if n.children:
+            n.scope = list(dict.fromkeys(c for child in n.children for c in child.scope))
+        if isinstance(n, Factorize):
+            n.condition = list(n.children[0].scope)
+    return root
+
+
 def probability(node: Node, lo: Batch, hi: Batch, m: int) -> np.ndarray:
     """P(lo <= row <= hi) for m boxes; a column that a batch lacks is unconstrained."""
+    if (f := behaviour("probability", node)) is not None:
+        return f(node, lo, hi, m)
     if isinstance(node, Leaf):
         c = node.scope[0]
         return node.range_mass(lo[c], hi[c]) if c in lo else np.ones(m)
@@ -193,7 +297,9 @@ def probability(node: Node, lo: Batch, hi: Batch, m: int) -> np.ndarray:
 def log_likelihood(node: Node, x: Batch, m: int, memo: dict[int, np.ndarray] | None = None) -> np.ndarray:
     """Log mass of rows; unknown cells are summed out. memo collects each node's values by its identity."""
     with np.errstate(divide="ignore"):
-        if isinstance(node, Leaf):
+        if (f := behaviour("log_likelihood", node)) is not None:
+            out = f(node, x, m)
+        elif isinstance(node, Leaf):
             c = node.scope[0]
             out = np.log(node.point_mass(x[c])) if c in x else np.zeros(m)
         elif isinstance(node, Joint):
@@ -248,7 +354,8 @@ def _log_sum(parts: list[np.ndarray]) -> np.ndarray:
     z = np.stack(parts)
     top = z.max(axis=0)
     safe = np.where(np.isfinite(top), top, 0.0)
-    return safe + np.log(np.exp(z - safe).sum(axis=0))
+    with np.errstate(divide="ignore"):
+        return safe + np.log(np.exp(z - safe).sum(axis=0))
 
 
 # --- algebra on the graph
@@ -381,10 +488,7 @@ def _restricted(node: Node | None, box: Box) -> Node | None:
             return n
         n = copy(n)
         if isinstance(n, Leaf):
-            lo, hi = box[n.scope[0]]
-            ok = (n.hi >= lo) & (n.lo < hi)
-            p = n.pdf * ok
-            return Leaf(n.scope, lo=n.lo, hi=n.hi, pdf=p / p.sum() if p.sum() else p, non_null=1.0, rows=n.rows, discrete=n.discrete)
+            return n.within(*box[n.scope[0]])
         if isinstance(n, Joint):
             ok = np.ones(len(n.pdf), bool)
             for k, c in enumerate(n.scope):
@@ -418,7 +522,7 @@ def validate(root: Node) -> list[str]:
             bad.append(f"node {n.id}: a factorize node needs two children of disjoint scopes")
         if isinstance(n, Split) and len(n.boxes) != len(n.children):
             bad.append(f"node {n.id}: boxes and children differ")
-        if isinstance(n, Leaf | Joint) and len(n.pdf) and not math.isclose(float(n.pdf.sum()), 1.0, abs_tol=1e-6):
+        if isinstance(n, Leaf | Joint) and n.pdf is not None and len(n.pdf) and not math.isclose(float(n.pdf.sum()), 1.0, abs_tol=1e-6):
             bad.append(f"node {n.id}: mass {n.pdf.sum()}")
     return bad
 
@@ -428,7 +532,7 @@ def stats(root: Node) -> dict[str, int]:
     out: dict[str, int] = {"nodes": len(nodes), "edges": sum(len(n.children) for n in nodes)}
     for n in nodes:
         out[n.kind] = out.get(n.kind, 0) + 1
-    out["parameters"] = sum(len(n.pdf) if isinstance(n, Leaf | Joint) else len(n.weights) if isinstance(n, Sum | Split) else 0 for n in nodes)
+    out["parameters"] = sum(n.parameters() if isinstance(n, Leaf) else len(n.pdf) if isinstance(n, Joint) else len(n.weights) if isinstance(n, Sum | Split) else 0 for n in nodes)
     depth = {id(root): 0}
     for n in nodes:
         for c in n.children:
@@ -442,6 +546,8 @@ def stats(root: Node) -> dict[str, int]:
 
 def moments(node: Node, k: int) -> dict[str, float]:
     """E[x^k] of each column."""
+    if (f := behaviour("moments", node)) is not None:
+        return f(node, k)
     if isinstance(node, Leaf):
         return {node.scope[0]: node.moment(k)}
     if isinstance(node, Joint):
@@ -472,12 +578,7 @@ def expectation(node: Node, lo: Batch, hi: Batch, m: int, powers: dict[str, int]
         return probability(node, lo, hi, m)
     if isinstance(node, Leaf):
         c = node.scope[0]
-        a, b = lo.get(c, np.full(m, -np.inf)), hi.get(c, np.full(m, np.inf))
-        with np.errstate(divide="ignore"):
-            f = np.where(node.value != 0, node.value.astype(float) ** powers[c], 0.0 if powers[c] < 0 else 0.0**powers[c])
-        cum = np.r_[0.0, np.cumsum(node.pdf * f)]
-        i, j = np.searchsorted(node.hi, a, "left"), np.searchsorted(node.lo, b, "left")
-        return np.where(j > i, cum[np.maximum(j, i)] - cum[i], 0.0) * node.non_null
+        return node.partial(lo.get(c, np.full(m, -np.inf)), hi.get(c, np.full(m, np.inf)), powers[c])
     if isinstance(node, Joint):
         mid = (node.low + node.high) / 2
         w = node.pdf.copy()
@@ -514,7 +615,10 @@ def complete(node: Node, x: Batch, m: int, rng: np.random.Generator | None = Non
         n, rows = jobs.pop()
         if not len(rows):
             continue
-        if isinstance(n, Leaf):
+        if (f := behaviour("complete", n)) is not None:
+            for c, v in f(n, {c: out[c][rows] for c in n.scope}, len(rows), rng).items():
+                out[c][rows] = v
+        elif isinstance(n, Leaf):
             c = n.scope[0]
             empty = rows[np.isnan(out[c][rows])]
             out[c][empty] = n.draw(len(empty), rng) if rng is not None else n.mode()
@@ -590,17 +694,16 @@ def feature_gradients(root: Node, x: Batch, m: int) -> Batch:
     grad, _ = node_gradients(root, x, m)
     out = {c: np.zeros(m) for c in root.scope}
     for n in root.walk():
-        if isinstance(n, Leaf) and len(n.pdf) > 1:
-            c = n.scope[0]
-            i = n.bin_of(x[c])
-            lo, hi = np.maximum(i - 1, 0), np.minimum(i + 1, len(n.pdf) - 1)
-            slope = (n.pdf[hi] - n.pdf[lo]) / np.maximum(n.value[hi] - n.value[lo], 1e-300)
-            out[c] += np.where(i >= 0, slope * n.non_null * np.exp(grad[id(n)]), 0.0)
+        if (f := behaviour("slope", n)) is not None:
+            out[n.scope[0]] += f(n, x[n.scope[0]]) * np.exp(grad[id(n)])
+        elif isinstance(n, Leaf):
+            out[n.scope[0]] += n.slope(x[n.scope[0]]) * np.exp(grad[id(n)])
     return out
 
 
 def em_step_sums(root: Node, x: Batch, m: int) -> dict[int, np.ndarray]:
-    """Expected counts of each sum node's children over rows x, by node id: what one EM iteration adds up over all rows."""
+    """What one EM iteration adds up over all rows, by node id: expected counts of a sum's children, weighted sums of a leaf that has
+    parameters to fit."""
     grad, memo = node_gradients(root, x, m)
     top = memo[id(root)]
     out = {}
@@ -609,5 +712,11 @@ def em_step_sums(root: Node, x: Batch, m: int) -> dict[int, np.ndarray]:
             with np.errstate(divide="ignore", invalid="ignore"):
                 parts = [np.exp(grad[id(n)] + memo[id(c)] + np.log(w) - top) for w, c in zip(n.weights, n.children, strict=True)]
             out[n.id] = np.array([np.nansum(np.where(np.isfinite(top), p, 0.0)) for p in parts])
+        elif isinstance(n, Leaf) and n.fits:
+            with np.errstate(invalid="ignore"):
+                w = np.exp(grad[id(n)] + memo[id(n)] - top)
+            v = x[n.scope[0]]
+            known = np.isfinite(top) & np.isfinite(w) & ~np.isnan(v)
+            out[n.id] = n.em_sums(v[known], w[known])
     return out
 

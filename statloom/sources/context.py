@@ -90,6 +90,13 @@ class Context:
         return [a.name for a in self.attributes if a.ndv is not None and a.ndv <= GROUP_BY_LIMIT]
 
 
+def schema_context(tables: dict[str, DataFrame]) -> DataFrame:
+    """(table, name, meta, lo, hi, ndv, groupable) of the numeric columns of several tables. Columns that aren't groupable are those
+    whose values are too many to be kept one by one."""
+    rows = [(t, a.name, a.meta.value, a.low, a.high, a.ndv, a.ndv <= GROUP_BY_LIMIT) for t, df in tables.items() for a in Context.of(df).attributes]
+    return next(iter(tables.values())).sparkSession.createDataFrame(rows, "table string, name string, meta string, lo double, hi double, ndv long, groupable boolean")
+
+
 def domains(df: DataFrame, columns: list[str], null_values: dict[str, float] | None = None) -> DataFrame:
     """(attr_id, name, lo, hi, n, n_null, ndv), one pass with map-side combine; ndv is exact."""
     value = {c: F.col(c).cast("double") for c in columns}

@@ -42,20 +42,26 @@ def evidence_queries(df: DataFrame, columns: list[str], n_query: int = 3, seed:
     probabilities (query_id, truth) = count(evidence and query) / count(evidence)."""
     rng = np.random.default_rng(seed)
     d = len(columns)
-    row = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).dropna().limit(1).first()
+    plain = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).dropna()
+    row = plain.orderBy(F.xxhash64(F.lit(seed), *columns), *columns).first()  # the same row however the table is stored
     given = sorted(rng.choice(d, int(rng.integers(2, max(3, d // 2))), replace=False).tolist())
     evidence = {columns[i]: row[columns[i]] for i in given}
     asked = [columns[i] for i in range(d) if i not in given][:n_query]
     axes = [[float(r[0]) for r in df.select(F.col(c).cast("double")).where(F.col(c).isNotNull()).distinct().orderBy(c).limit(values).collect()] for c in asked]
     queries = [dict(zip(asked, v, strict=True)) for v in itertools.product(*axes)]
+    return evidence, queries, conditional_truth(df, evidence, queries)
+
+
+def conditional_truth(df: DataFrame, evidence: dict[str, float], queries: list[dict[str, float]]) -> DataFrame:
+    """(query_id, truth): the share of each query's values among the rows of the evidence. All queries have the same columns."""
+    asked = list(queries[0])
     cond = F.lit(True)
     for c, v in evidence.items():
         cond = cond & (F.col(c) == v)
-    held = df.where(cond).groupBy(*asked).agg(F.count("*").alias("n"))
+    held = df.where(cond).groupBy(*[F.col(c).cast("double").alias(c) for c in asked]).agg(F.count("*").alias("n"))
     total = df.where(cond).count()
     frame = df.sparkSession.createDataFrame([(i, *q.values()) for i, q in enumerate(queries)], ", ".join(["query_id long", *(f"{c} double" for c in asked)]))
-    truth = frame.join(held, asked, "left").select("query_id", (F.coalesce("n", F.lit(0)) / total).alias("truth"))
-    return evidence, queries, truth
+    return frame.join(held, asked, "left").select("query_id", (F.coalesce("n", F.lit(0)) / total).alias("truth"))
 
 
 def read_table(spark: SparkSession, path: str, kind: str = "parquet") -> DataFrame:
