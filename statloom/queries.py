@@ -251,7 +251,9 @@ def gmm_split(spark, sf):
     return R.part_shares(R.gmm_split(read(spark, sf, "part"), ["p_size", "p_retailprice"])[0])
 
 
-@query("density_split")
+@query("density_split", """WITH s AS (SELECT s_suppkey AS row, s_acctbal / 100 AS x FROM supplier), c AS (SELECT a.row, a.x FROM s a JOIN s b ON abs(a.x - b.x) <= 2 GROUP BY 1, 2 HAVING count(*) >= 3),
+g AS (SELECT row, x, sum(CAST(coalesce(x - p > 2, FALSE) AS INTEGER)) OVER (ORDER BY x, row) AS g FROM (SELECT row, x, lag(x) OVER (ORDER BY x, row) AS p FROM c)), l AS (SELECT row, x, min(row) OVER (PARTITION BY g) AS part FROM g)
+SELECT s.row, min(l.part) AS part FROM s LEFT JOIN l ON abs(s.x - l.x) <= 2 AND (s.row = l.row OR s.row NOT IN (SELECT row FROM l)) GROUP BY 1""")
 def density_split(spark, sf):
     return R.density_split(read(spark, sf, "supplier").select(F.col("s_suppkey").alias("row"), (F.col("s_acctbal") / 100).alias("x")), ["x"], 2.0, 3)
 
@@ -281,13 +283,27 @@ def mutual_information(spark, sf):
     return C.mutual_information(_flags(spark, sf), ["r", "o", "q"])
 
 
-@query("chow_liu_tree")
+_TREE_SQL = f"""WITH {_FLAGS}, c AS (SELECT count(*) + 0.04 AS n, sum(r) + 0.02 AS r, sum(o) + 0.02 AS o, sum(q) + 0.02 AS q, sum(r * o) + 0.01 AS ro, sum(r * q) + 0.01 AS rq, sum(o * q) + 0.01 AS oq FROM f),
+b AS (SELECT * FROM (VALUES ('r', 'o'), ('r', 'q'), ('o', 'q')) p(i, j), (VALUES (0), (1)) x(u), (VALUES (0), (1)) y(v)),
+k AS (SELECT i, j, u, v, n, CASE i WHEN 'r' THEN r ELSE o END AS a, CASE j WHEN 'o' THEN o ELSE q END AS d, CASE WHEN i = 'o' THEN oq WHEN j = 'o' THEN ro ELSE rq END AS e FROM b, c),
+l AS (SELECT i, j, u, v, CASE u WHEN 1 THEN a ELSE n - a END / n AS pi, CASE v WHEN 1 THEN d ELSE n - d END / n AS pj, CASE u * 2 + v WHEN 3 THEN e WHEN 2 THEN a - e WHEN 1 THEN d - e ELSE n - a - d + e END / n AS p FROM k),
+m AS (SELECT i, j, sum(p * ln(p / (pi * pj))) AS mi FROM l GROUP BY 1, 2),
+w AS (SELECT max(mi) FILTER (i = 'r' AND j = 'o') AS ro, max(mi) FILTER (i = 'r' AND j = 'q') AS rq, max(mi) FILTER (i = 'o') AS oq FROM m),
+g AS (SELECT CASE WHEN ro >= rq OR oq <= rq THEN CASE WHEN ro >= rq THEN 'r' WHEN oq > ro THEN 'q' ELSE 'r' END ELSE CASE WHEN oq > ro THEN 'q' ELSE 'r' END END AS o_parent, CASE WHEN ro >= rq THEN CASE WHEN oq > rq THEN 'o' ELSE 'r' END ELSE 'r' END AS q_parent FROM w)
+SELECT 'r' AS child, CAST(NULL AS VARCHAR) AS parent, ln(CASE y.v WHEN 1 THEN r ELSE n - r END / n) AS log_factor, x.u AS parent_value, y.v AS value FROM c, (VALUES (0), (1)) x(u), (VALUES (0), (1)) y(v)
+UNION ALL SELECT 'o', 'r', ln(p / pi), u, v FROM l, g WHERE i = 'r' AND j = 'o' AND o_parent = 'r' UNION ALL SELECT 'o', 'q', ln(p / pj), v, u FROM l, g WHERE i = 'o' AND o_parent = 'q'
+UNION ALL SELECT 'q', 'r', ln(p / pi), u, v FROM l, g WHERE i = 'r' AND j = 'q' AND q_parent = 'r' UNION ALL SELECT 'q', 'o', ln(p / pi), u, v FROM l, g WHERE i = 'o' AND q_parent = 'o'"""
+
+
+@query("chow_liu_tree", _TREE_SQL)
 def chow_liu_tree(spark, sf):
     t = C.ChowLiuTree.fit(_flags(spark, sf), ["r", "o", "q"])
     return spark.createDataFrame([(c, t.columns[p] if p >= 0 else None, float(f[u, v]), u, v) for c, p, f in zip(t.columns, t.parent, t.log_factor, strict=True) for u in (0, 1) for v in (0, 1)], "child string, parent string, log_factor double, parent_value int, value int")
 
 
-@query("stability_statistic")
+@query("stability_statistic", """WITH m AS (SELECT avg(l_quantity) AS m, var_pop(l_quantity) AS v, count(*) AS n FROM lineitem), g AS (SELECT l_extendedprice AS z, sum(l_quantity - m) AS r, count(*) AS k FROM lineitem, m GROUP BY 1),
+c AS (SELECT sum(r) OVER (ORDER BY z) AS cr, sum(k) OVER (ORDER BY z) AS ck FROM g), t AS (SELECT cr, ck * 1.0 / n AS t, n, v, greatest(0.1 * n, 10) / n AS lo FROM c, m)
+SELECT coalesce(max(cr * cr / (n * v) / (t * (1 - t))) FILTER (t >= lo AND t <= 1 - lo), 0) AS statistic, max(n) AS n FROM t""")
 def stability_statistic(spark, sf):
     return C.stability_statistic(read(spark, sf, "lineitem"), "l_quantity", "l_extendedprice")
 
@@ -308,16 +324,10 @@ def rdc(spark, sf):
     return spark.createDataFrame([(names[i], names[j], float(m[i, j])) for i in range(5) for j in range(i)], "i string, j string, rdc double")
 
 
-_FITTED: dict[tuple[str, str], Model] = {}
-
-
 def fitted(spark, sf) -> Model:
-    """The model of the derived columns, learned once for each table and session."""
-    key = (spark.sparkContext.applicationId, sf)
-    if key not in _FITTED:
-        table = derived(spark, sf)
-        _FITTED[key] = Model.fit(table, Context.of(table, list("abcde"), _META), Params())
-    return _FITTED[key]
+    """A model of the derived columns, learned anew."""
+    table = derived(spark, sf)
+    return Model.fit(table, Context.of(table, list("abcde"), _META), Params())
 
 
 @query("learned_structure")
@@ -402,7 +412,16 @@ def model_gradients(spark, sf):
     return fitted(spark, sf).gradients(derived(spark, sf, row), "row")
 
 
-@query("model_em")
+def _em_sql(rounds: int = 5) -> str:
+    """That many rounds of weights, each from the one before."""
+    smooth = "(count(*) + 1.0) / (sum(count(*)) OVER () + count(*) OVER ())"
+    out = f"WITH a AS (SELECT p_size AS x, {smooth} AS p FROM part WHERE p_size <= 30 GROUP BY 1), b AS (SELECT p_size AS x, {smooth} AS p FROM part WHERE p_size > 20 GROUP BY 1), r AS (SELECT p_size AS x, count(*) AS n, coalesce(max(a.p), 0) AS a, coalesce(max(b.p), 0) AS b FROM part LEFT JOIN a ON a.x = p_size LEFT JOIN b ON b.x = p_size GROUP BY 1), w0 AS (SELECT 0.5 AS w)"
+    for i in range(rounds):
+        out += f", w{i + 1} AS (SELECT (sum(n * w * a / (w * a + (1 - w) * b)) + exp(-100)) / (sum(n) + 2 * exp(-100)) AS w FROM r, w{i})"
+    return out + f" SELECT 0 AS child, w AS weight FROM w{rounds} UNION ALL SELECT 1, 1 - w FROM w{rounds}"
+
+
+@query("model_em", _em_sql())
 def model_em(spark, sf):
     rows = read(spark, sf, "part").select(F.col("p_size").cast("double").alias("x"))
     low, high = rows.where("x <= 30"), rows.where("x > 20")
@@ -424,3 +443,6 @@ def incremental_update(spark, sf):
 
 def entry(spark: SparkSession, sf: str) -> DataFrame:
     return cardinalities(spark, sf)
+
+
+from statloom import model_queries  # noqa: E402, F401  adds its queries to these
