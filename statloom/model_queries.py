@@ -174,7 +174,7 @@ def mle_overdispersed(spark, sf):
     return P.fit(read(spark, sf, "lineitem"), "l_quantity").where("family = 'negative_binomial'")
 
 
-@query("mle_hypergeometric", "SELECT 50.0 AS a, least(50.0, floor(avg(l_linenumber) / 10 * 51)) AS b, 10.0 AS c FROM lineitem")
+@query("mle_hypergeometric", "SELECT CAST(50 AS DOUBLE) AS a, least(CAST(50 AS DOUBLE), floor(avg(l_linenumber) / 10 * 51)) AS b, CAST(10 AS DOUBLE) AS c FROM lineitem")
 def mle_hypergeometric(spark, sf):
     return P.fit_hypergeometric(read(spark, sf, "lineitem"), "l_linenumber", 50, 10)
 
@@ -468,7 +468,7 @@ class _Even(N.Leaf):
 N.register(_Even, probability=lambda n, lo, hi, m: np.array([sum(a <= v <= b for v in range(2, 51, 2)) / 25 for a, b in zip(lo.get("q", np.full(m, -np.inf)), hi.get("q", np.full(m, np.inf)), strict=True)]), likelihood=lambda n, x, m: np.where((x["q"] % 2 == 0) & (x["q"] >= 2) & (x["q"] <= 50), 1 / 25, 0.0), moments=lambda n, k: {"q": sum(v**k for v in range(2, 51, 2)) / 25})
 
 
-@query("registered_kind", "SELECT CAST(0 AS BIGINT) AS query_id, 6.0 / 25 * count(*) FILTER (l_linenumber <= 3) / count(*) AS selectivity, 26.0 AS mean, CAST(ln(1.0 / 25) AS DOUBLE) AS ll FROM lineitem")
+@query("registered_kind", "SELECT CAST(0 AS BIGINT) AS query_id, 6.0 / 25 * count(*) FILTER (l_linenumber <= 3) / count(*) AS selectivity, CAST(26 AS DOUBLE) AS mean, CAST(ln(1.0 / 25) AS DOUBLE) AS ll FROM lineitem")
 def registered_kind(spark, sf):
     t = lines(spark, sf)
     root = N.assign_ids(_Even(["q"], lo=[], hi=[], pdf=[]) * leaf(t, "k", MetaType.DISCRETE, PLAIN, t.count()))

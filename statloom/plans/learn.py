@@ -165,7 +165,7 @@ class Learner:
 
     def _profile(self, sets: list[int]) -> None:
         c = list(enumerate(self.names))
-        made = [F.count("*").alias("n"), *[F.approx_count_distinct(x, 0.02).alias(f"d_{i}") for i, x in c], *[F.min(x).alias(f"lo_{i}") for i, x in c], *[F.max(x).alias(f"hi_{i}") for i, x in c], *[F.count(x).alias(f"k_{i}") for i, x in c]]
+        made = [F.count("*").alias("n"), *[F.approx_count_distinct(x).alias(f"d_{i}") for i, x in c], *[F.min(x).alias(f"lo_{i}") for i, x in c], *[F.max(x).alias(f"hi_{i}") for i, x in c], *[F.count(x).alias(f"k_{i}") for i, x in c]]
         for r in self._rows(sets).groupBy("_set").agg(*made).collect():  # one row for each set
             distinct = {x: 1 if r[f"lo_{i}"] == r[f"hi_{i}"] else max(2, r[f"d_{i}"]) for i, x in c}
             self.profiles[r["_set"]] = Profile(r["n"], distinct, {x: r[f"lo_{i}"] for i, x in c}, {x: r[f"hi_{i}"] for i, x in c}, {x: r[f"k_{i}"] for i, x in c})

@@ -56,7 +56,7 @@ def update(model: Model, batch: DataFrame, sign: int = 1) -> Model:
         ends = near.select("node", "at", F.posexplode(F.split("key", ",")).alias("i", "x")).groupBy("node", "at", "i").agg(F.min(F.col("x").cast("double")).alias("lo"), F.max(F.col("x").cast("double")).alias("hi"))
         ends = ends.groupBy("node", "at").agg(F.sort_array(F.collect_list(F.struct("i", "lo", "hi"))).alias("e"))  # one for each column of a leaf
         near = near.groupBy("node", "what", "at").agg(F.sum("n").alias("n")).join(ends, ["node", "at"])
-        text = [F.array_join(F.transform("e", lambda x, k=k: x[k].cast("string")), ",") for k in ("lo", "hi")]
+        text = [F.array_join(F.col(f"e.{k}").cast("array<string>"), ",") for k in ("lo", "hi")]
         near = near.select("node", "what", F.concat_ws("|", "at", *text).alias("key"), "n")
         known = known.unionByName(near)
     deltas = known.collect()  # at most a leaf's bins and NEW rows for each leaf
@@ -97,7 +97,7 @@ def _route(n: N.Node, x: N.Batch, rows: np.ndarray, out: list[tuple]) -> None:
             out += [(n.id, "new", repr(float(u)), int(k)) for u, k in zip(*np.unique(fresh, return_counts=True), strict=True)]
         elif len(fresh):  # beyond the ends of a real column's bins, or in a gap
             which = np.array([_nearest(n, repr(float(u))) for u in fresh])
-            out += [(n.id, "near", f"{i}|{fresh[which == i].min()!r}|{fresh[which == i].max()!r}", int((which == i).sum())) for i in np.unique(which).tolist()]
+            out += [(n.id, "near", f"{i}|{float(fresh[which == i].min())!r}|{float(fresh[which == i].max())!r}", int((which == i).sum())) for i in np.unique(which).tolist()]
     elif isinstance(n, N.Joint):
         v = np.stack([x[c][rows] for c in n.scope], 1)
         v = v[~np.isnan(v).any(axis=1)]
