@@ -27,9 +27,34 @@ def test_sql(spark, sf, duck, name):
     same(QUERIES[name](spark, sf).toPandas(), duck.execute(SQL[name]).df())
 
 
-@pytest.mark.parametrize("name", ["kmeans_split", "gmm_split", "density_split", "chow_liu_tree", "stability_statistic", "rdc_matrix", "model_samples", "model_em"])
-def test_rows(spark, sf, name):
-    assert QUERIES[name](spark, sf).count() > 0
+@pytest.mark.parametrize("name", ["kmeans_split", "gmm_split", "rdc_split"])
+def test_clusters(spark, sf, name):
+    """Two clusters that share all rows, the same at every run."""
+    got = [sorted((r.part, r.n, round(r.share, 9)) for r in QUERIES[name](spark, sf).collect()) for _ in range(2)]
+    assert got[0] == got[1] and len(got[0]) == 2 and abs(sum(s for _, _, s in got[0]) - 1) < 1e-6
+
+
+def test_dependence(spark, sf):
+    """Columns made from each other depend strongly, others hardly; a cut of a column lies inside it."""
+    m = {frozenset((r.i, r.j)): r.rdc for r in QUERIES["rdc_matrix"](spark, sf).collect()}
+    assert m[frozenset("ab")] > 0.9 and m[frozenset("ac")] > 0.3 and m[frozenset("ad")] < 0.3 and m[frozenset("de")] < 0.3
+    assert 0 <= QUERIES["searched_cut"](spark, sf).first().cut <= 9
+    boxes = QUERIES["condition_clusters"](spark, sf).collect()
+    assert len(boxes) == 2 and all(r.d_lo <= r.d_hi and r.e_lo <= r.e_hi for r in boxes)
+
+
+def test_kernel_histogram(spark, sf):
+    got = QUERIES["kernel_histogram"](spark, sf).toPandas().sort_values("bin")
+    rows = spark.read.parquet(f"{sf}/customer.parquet")
+    assert len(got) == 60 and abs(got["pdf"].sum() - 1) < 1e-9 and (got["lo"].to_numpy()[1:] == got["hi"].to_numpy()[:-1]).all()
+    middle = (got["lo"] + got["hi"]) / 2
+    assert abs((middle * got["pdf"]).sum() - rows.agg({"c_acctbal": "avg"}).first()[0]) < 300
+
+
+def test_samples(spark, sf):
+    got = QUERIES["model_samples"](spark, sf).toPandas()
+    lines = spark.read.parquet(f"{sf}/lineitem.parquet").selectExpr("avg(l_quantity) as q", "avg(l_linenumber) as k").first()
+    assert len(got) == 1000 and abs(got["q"].mean() - lines.q) < 2 and abs(got["k"].mean() - lines.k) < 0.3
 
 
 def test_learned_cardinalities(spark, sf):
