@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
-import time
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,57 +24,112 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc._jsc.sc().getCheckpointDir().get()
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df, computed once and written to the shared checkpoint folder, which survives the loss of any executor."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder; what is written there is deleted when the application ends, or by discard()."""
+    folder = f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    at, fs = _file_system(spark, folder)
+    fs.mkdirs(at)
+    fs.deleteOnExit(at)
+    return f"{folder}/t"
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    at, fs = _file_system(spark, path.rpartition("/")[0])
+    fs.delete(at, True)
+
+
+def _file_system(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark._jsc.hadoopConfiguration())
+
 
+#: Spark's setting by which the shuffle files of a finished execution go at once.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
-def free_shuffles(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of what a cut has made unreachable, which it does when the driver's garbage goes."""
-    for _ in range(2):  # what the first pass releases on the driver's Python side goes with the second
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.5)
+
+def cut(df: DataFrame) -> DataFrame:
+    """df, computed once and written to the shared checkpoint folder, which survives the loss of any executor. The shuffle files that
+    it took are deleted."""
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        return df.select("*").checkpoint(eager=True)  # a new plan, which heeds the setting
+    finally:
+        spark.conf.set(_CLEANUP, before)
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
+#: More keys than this can't each hold over one in HEAVY of all rows, so that many rows of a few numbers is what a join may broadcast.
+HEAVY = 100_000
+
+
+def join_hot(rows: DataFrame, facts: DataFrame, key: str, n: str, total: int, how: str = "inner") -> DataFrame:
+    """rows.join(facts, key, how), where facts has one row per key and its column n says how many rows have it, of total in all.
+
+    Keys of over total / HEAVY rows are at most HEAVY; their facts are broadcast and their rows stay where they are. Of all
+    other keys none has more than one in HEAVY of the rows, and those are shuffled. So no key, however common, gathers in a task.
+    rows and facts should be cheap to read twice.
+    """
+    met = rows.join(F.broadcast(facts.where(F.col(n) > total // HEAVY)), key, "left")
+    others = met.where(F.col(n).isNull()).select(*rows.columns)
+    return met.where(F.col(n).isNotNull()).unionByName(others.join(facts.where(F.col(n) <= total // HEAVY), key, how))
+
+
+#: Links of a part that one task contracts.
+PART = 1_000_000
+
+
+def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 200, part: int = PART) -> DataFrame:
     """(node, root) for every node of an undirected edge list; root is the component's smallest node.
 
-    Alternating large-star and small-star rounds, each an aggregation with map-side combine and a join, so that a hub with
-    very many neighbours is never gathered in one task. Nulls and self-loops carry no link. Converges in O(log n) rounds for
-    the shallow graphs that near-duplicate search makes; each round is checkpointed.
+    A distributed union-find. Links are dealt by their greater node to parts of about `part` links, whose tasks each replace
+    them by stars: every node of a part's component linked to its smallest. As stars have a node at most once as the greater
+    one, no node gathers more links than there were parts, however many neighbours it has. Then links to a node that is itself
+    linked to a smaller one are moved there, and so on, until all stars are disjoint. Nulls and self-loops carry no link. Each
+    round is checkpointed.
     """
-    e = (
-        edges.select(F.least(a, b).alias("lo"), F.greatest(a, b).alias("hi"))
-        .where("lo is not null and hi is not null and lo <> hi")
-        .distinct()
-    )
-    e = cut(e)
+    links = edges.select(F.greatest(a, b).cast("long").alias("hi"), F.least(a, b).cast("long").alias("lo")).where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b)))
+    e = cut(links.mapInArrow(_stars(part), "hi long, lo long"))
     for _ in range(max_rounds):
-        if _settled(e):
+        e = cut(e.repartition(max(1, -(-e.count() // part)), "hi").mapInArrow(_stars(None), "hi long, lo long"))
+        ends = e.select(F.col("hi").alias("n"), F.col("lo").alias("m"), F.lit(1).alias("h"), F.lit(0).alias("l")).union(e.select("lo", F.lit(None), F.lit(0), F.lit(1)))
+        ends = cut(ends.groupBy("n").agg(F.min("m").alias("m"), F.sum("h").alias("h"), F.sum("l").alias("l")).where("h > 1 or (h = 1 and l > 0)"))
+        if not ends.count():
             break
-        both = e.select(F.col("lo").alias("u"), F.col("hi").alias("v")).union(e.select(F.col("hi"), F.col("lo")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("m").alias("lo"), F.col("v").alias("hi")).distinct()
-        low = large.groupBy("hi").agg(F.min("lo").alias("m"))
-        met = large.join(low, "hi")
-        small = met.where("lo <> m").select(F.col("m").alias("lo"), F.col("lo").alias("hi")).union(met.select(F.col("m").alias("lo"), "hi"))
-        e = cut(small.distinct())
+        e = join_hot(e, ends.where("h > 0 and l > 0").select(F.col("n").alias("lo"), "m", "l"), "lo", "l", e.count(), "left").select("hi", F.coalesce("m", "lo").alias("lo"))
     else:
         raise RuntimeError("components have not settled")
     return e.select(F.col("hi").alias("node"), F.col("lo").alias("root")).union(e.select(F.col("lo"), F.col("lo")).distinct())
 
 
-def _settled(e: DataFrame) -> bool:
-    """Whether edges are disjoint stars around their smallest nodes: each hi has one lo, and no lo is a hi."""
-    ends = e.select(F.col("hi").alias("n"), F.lit(1).alias("h"), F.lit(0).alias("l")).union(e.select("lo", F.lit(0), F.lit(1)))
-    odd = ends.groupBy("n").agg(F.sum("h").alias("h"), F.max("l").alias("l")).where("h > 1 or (h = 1 and l = 1)")
-    return odd.agg(F.count("*")).first()[0] == 0
+def _stars(part: int | None):
+    """Contracts runs of about `part` links, or all links of a task."""
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        held, size = [], 0
+
+        def out():
+            node, root = star_edges(*(np.concatenate([b.column(c).to_numpy() for b in held]) for c in ("hi", "lo")))
+            return pa.RecordBatch.from_pydict({"hi": pa.array(node, pa.int64()), "lo": pa.array(root, pa.int64())})
+
+        for b in batches:
+            held.append(b)
+            size += b.num_rows
+            if part and size >= part:
+                yield out()
+                held, size = [], 0
+        if held:
+            yield out()
+
+    return run
 
 
 def deal_blocks(members: DataFrame, id_col: str, size_col: str, block: int = 512) -> DataFrame:
@@ -89,8 +143,9 @@ def deal_blocks(members: DataFrame, id_col: str, size_col: str, block: int = 512
     return dealt.withColumn("_i", F.least("_own", "_with")).withColumn("_j", F.greatest("_own", "_with")).drop("_with")
 
 
-def whole_groups(batches, keys: list[str], rows: int = 16_384):
-    """Arrow tables of complete groups, with the row at which each group starts, from batches sorted by keys."""
+def whole_groups(batches, keys: list[str], rows: int = 16_384, size: int = 16 << 20):
+    """Arrow tables of complete groups, with the row at which each group starts, from batches sorted by keys. A table has about so many
+    rows or bytes, and at least one group."""
     import numpy as np
     import pyarrow as pa
 
@@ -106,7 +161,7 @@ def whole_groups(batches, keys: list[str], rows: int = 16_384):
 
     for b in batches:
         held.append(b)
-        if sum(x.num_rows for x in held) >= rows:
+        if sum(x.num_rows for x in held) >= rows or sum(x.nbytes for x in held) >= size:
             table = pa.Table.from_batches(held).combine_chunks()
             at = starts(table)
             if len(at) > 1:
@@ -123,6 +178,8 @@ def pair_indices(starts, n: int, own=None, crossed=None, at_once: int = 1_000_00
     """(a, b) index arrays of all pairs within each group; in groups that are crossed, only pairs of unequal own."""
     import numpy as np
 
+    if not n:
+        return
     ends = np.repeat(np.r_[starts[1:], n], np.diff(np.r_[starts, n]))
     row = np.arange(n)
     after = ends - row - 1
@@ -141,26 +198,19 @@ def pair_indices(starts, n: int, own=None, crossed=None, at_once: int = 1_000_00
         lo = hi
 
 
-class Forest:
-    """Union-find over hashable nodes; union() tells whether the link was new."""
-
-    def __init__(self):
-        self.up: dict = {}
-
-    def find(self, x):
-        up = self.up
-        root = x
-        while (p := up.get(root, root)) != root:
-            root = p
-        while x != root:
-            up[x], x = root, up.get(x, x)
-        return root
-
-    def union(self, a, b) -> bool:
-        a, b = self.find(a), self.find(b)
-        if a == b:
-            return False
-        if b < a:
-            a, b = b, a
-        self.up[b] = a
-        return True
+def star_edges(a, b):
+    """(node, root) arrays for the nodes of the links (a, b) that aren't the smallest of their component; a and b are integer arrays."""
+    import numpy as np
+
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    u, v = at[: len(a)], at[len(a) :]
+    root = np.arange(len(nodes))
+    while len(u):
+        x, y = root[u], root[v]
+        apart = x != y
+        u, v, x, y = u[apart], v[apart], x[apart], y[apart]
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+        while (up := root[root]).tobytes() != root.tobytes():
+            root = up
+    own = np.flatnonzero(root != np.arange(len(nodes)))
+    return nodes[own], nodes[root[own]]

@@ -1,7 +1,10 @@
 """MinHash parts that the line and n-gram operators share.
 
-Signatures. Each value of a signature is the minimum of a permutation of its own over all shingle hashes of a text, whatever
-their number. So two texts agree in one value with the probability of their Jaccard similarity, independently of the others.
+Signatures. A permutation orders all shingle hashes of a text, whatever their number, on a circle. It gives four values: the
+nearest hash on either side of either of two opposite points. Each is the extreme of a random order, so two texts agree in it
+with the probability of their Jaccard similarity. The values of a band come from as many independent permutations. Bands that
+share permutations look from different points, whose nearest hashes are different shingles but in sets of a few, so one
+differing shingle seldom spoils two of them.
 
 Banding. A band is `rows` values. With b bands, a pair at similarity s meets in some band with probability
 1 - (1 - s**rows)**b; bands_for() gives the b for a target recall. Entries (band hash, key, 64-bit sketch) are packed by
@@ -9,8 +12,9 @@ slices of the band hash and shuffled as few large byte strings. In a slice, keys
 for the threshold (recall of that test alone: over 0.999) are candidates; each band gives the edges of a spanning forest of
 its candidates, and connected candidates form groups.
 
-Verification. Within a candidate group all pairs are compared on their full shingle sets, by products of 0/1 matrices, in
-blocks of bounded size that are dealt to many tasks. A band or a group of any size is thus complete: there is no cap.
+Verification. Within a candidate group all pairs are compared on their full shingle sets: small groups together, by sorting
+their shingles, large ones by products of 0/1 matrices, in blocks of bounded size that are dealt to many tasks. A band or a
+group of any size is thus complete: there is no cap.
 """
 
 from __future__ import annotations
@@ -21,10 +25,11 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from statloom.llm.common import Forest, connected_components, cut, deal_blocks, free_shuffles, whole_groups
+from statloom.llm.common import connected_components, cut, deal_blocks, join_hot, pair_indices, star_edges, whole_groups
 
 ENTRY = np.dtype([("band", "<u8"), ("key", "<i8"), ("sketch", "<u8")])
 #: Bands with more keys than this are dealt out again, as block pairs.
@@ -42,42 +47,55 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
+def mix32(x: np.ndarray) -> np.ndarray:
+    """A bijective scramble of unsigned 32-bit integers."""
+    x = (x ^ (x >> np.uint32(16))) * np.uint32(0x85EBCA6B)
+    x = (x ^ (x >> np.uint32(13))) * np.uint32(0xC2B2AE35)
+    return x ^ (x >> np.uint32(16))
+
+
 class Signer:
     """Signatures of bands * rows values, as entries."""
 
     def __init__(self, bands: int, rows: int, seed: int = 41):
         self.bands, self.rows = bands, rows
         r = np.random.default_rng([seed, bands, rows])
-        self.flip = r.integers(0, 1 << 32, bands * rows, dtype=np.uint64).astype(np.uint32)
-        self.odd = r.integers(0, 1 << 32, bands * rows, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
-        self.weights = r.integers(0, 1 << 63, (bands, rows), dtype=np.uint64) | np.uint64(1)
+        n = -(-bands // 4) * rows
+        self.flip = r.integers(0, 1 << 32, n, dtype=np.uint64).astype(np.uint32)
+        self.odd = r.integers(0, 1 << 32, n, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
+        self.weights = r.integers(0, 1 << 63, (bands, rows, 1), dtype=np.uint64) | np.uint64(1)
+        self.bits = r.integers(0, 1 << 32, (64, 1), dtype=np.uint64).astype(np.uint32) | np.uint32(1)
 
-    def signatures(self, hashes: np.ndarray, starts: np.ndarray, held: int = 1 << 15) -> np.ndarray:
-        """hashes: scrambled 32-bit shingle hashes of all texts; starts: where each text's begin (none is empty). Values x texts.
+    def signatures(self, hashes: np.ndarray, starts: np.ndarray, held: int = 1 << 16) -> np.ndarray:
+        """hashes: scrambled 32-bit shingle hashes of all texts; starts: where each text's begin (none is empty). Bands x rows x texts.
 
         Texts are taken in runs of about `held` hashes, which stay in the processor's cache."""
-        out = np.empty((self.bands * self.rows, len(starts)), np.uint32)
+        out = np.empty((-(-self.bands // 4), 4, self.rows, len(starts)), np.uint32)
+        signed = out.view(np.int32)
         cuts = np.flatnonzero(np.r_[True, starts[1:] // held != starts[:-1] // held]) if len(starts) else []
         for lo, hi in zip(cuts, [*cuts[1:], len(starts)], strict=True):
             own = hashes[starts[lo] : starts[hi] if hi < len(starts) else len(hashes)]
             at, turned = starts[lo:hi] - starts[lo], np.empty_like(own)
+            halved = turned.view(np.int32)
             for v, (flip, odd) in enumerate(zip(self.flip, self.odd, strict=True)):
+                b, r = divmod(v, self.rows)
                 np.multiply(np.bitwise_xor(own, flip, out=turned), odd, out=turned)
-                out[v, lo:hi] = np.minimum.reduceat(turned, at)
-        return out
-
-    def entries(self, keys: np.ndarray, hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        """bands entries of each text, text by text."""
-        sig = self.signatures(hashes, starts)
-        sketch = np.zeros(len(starts), np.uint64)
-        for k in range(64):
-            sketch |= (mix64(sig[k % len(sig)].astype(np.uint64)) >> np.uint64(k // len(sig)) & np.uint64(1)) << np.uint64(k)
-        out = np.empty((len(starts), self.bands), ENTRY)
-        out["key"], out["sketch"] = keys[:, None], sketch[:, None]
+                np.minimum.reduceat(turned, at, out=out[b, 0, r, lo:hi])
+                np.maximum.reduceat(turned, at, out=out[b, 1, r, lo:hi])
+                np.minimum.reduceat(halved, at, out=signed[b, 2, r, lo:hi])
+                np.maximum.reduceat(halved, at, out=signed[b, 3, r, lo:hi])
+        return out.reshape(-1, self.rows, len(starts))[: self.bands]
+
+    def entries(self, keys: np.ndarray, sig: np.ndarray) -> np.ndarray:
+        """Texts x bands; in memory, band by band."""
+        values = sig.reshape(-1, len(keys))
+        values = values[np.arange(64) % len(values)] * self.bits
+        sketch = np.packbits((values >> np.uint32(31)).astype(np.uint8), axis=0).T.copy().view("<u8")[:, 0]
+        out = np.empty((self.bands, len(keys)), ENTRY)
+        out["key"], out["sketch"] = keys, sketch
         for b in range(self.bands):
-            own = sig[b * self.rows : (b + 1) * self.rows].astype(np.uint64)
-            out["band"][:, b] = mix64((own * self.weights[b][:, None]).sum(axis=0) + np.uint64(b))
-        return out
+            out["band"][b] = mix64((sig[b] * self.weights[b]).sum(axis=0) + np.uint64(b))
+        return out.T
 
 
 def agreeing(least: float) -> int:
@@ -88,78 +106,82 @@ def agreeing(least: float) -> int:
 
 def slices(entries: np.ndarray, n_slices: int) -> Iterator[tuple[int, bytes]]:
     """Entries packed by the slice of their band hash."""
-    entries = entries.ravel()
-    own = (entries["band"] >> np.uint64(40)) % np.uint64(n_slices)
-    order = np.argsort(own.astype(np.uint16) if n_slices < 1 << 16 else own, kind="stable")
-    entries, own = entries[order], own[order]
-    for at in np.split(np.arange(len(own)), np.flatnonzero(own[1:] != own[:-1]) + 1) if len(own) else ():
-        yield int(own[at[0]]), entries[at[0] : at[-1] + 1].tobytes()
+    entries = entries.ravel(order="K")
+    own = ((entries["band"] >> np.uint64(40)) % np.uint64(n_slices)).astype(np.uint16 if n_slices < 1 << 16 else np.uint32)
+    order = np.argsort(own, kind="stable")
+    packed, own = entries[order], own[order]
+    ends = np.r_[np.flatnonzero(own[1:] != own[:-1]) + 1, len(own)] if len(own) else []
+    start = 0
+    for end in ends:
+        yield int(own[start]), packed[start:end].tobytes()
+        start = end
 
 
 def _agree(sketch_a: np.ndarray, sketch_b: np.ndarray) -> np.ndarray:
     return np.int64(64) - np.bitwise_count(sketch_a ^ sketch_b).astype(np.int64)
 
 
-def _edges_within(keys: np.ndarray, sketch: np.ndarray, bits: int, forest: Forest, crossed: tuple[np.ndarray, np.ndarray] | None = None) -> list[tuple[int, int]]:
-    """New forest links among keys of one band whose sketches agree in at least bits."""
-    out = []
-    left, right = crossed or (np.arange(len(keys)), np.arange(len(keys)))
-    for i in range(0, len(left), 256):
-        a, b = np.nonzero(_agree(sketch[left[i : i + 256], None], sketch[None, right]) >= bits)
-        a, b = keys[left[i + a]], keys[right[b]]
-        for s, t in zip(a[a != b].tolist(), b[a != b].tolist(), strict=True):
-            if forest.union(s, t):
-                out.append((s, t))
-    return out
+def _links(keys: np.ndarray, sketch: np.ndarray, bits: int, pairs: Iterable[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """(node, root) that join those pairs of different keys whose sketches agree in at least bits."""
+    a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for i, j in pairs:
+        near = (_agree(sketch[i], sketch[j]) >= bits) & (keys[i] != keys[j])
+        if near.any():
+            node, root = star_edges(keys[i[near]], keys[j[near]])
+            a.append(node)
+            b.append(root)
+    return star_edges(np.concatenate(a), np.concatenate(b))
 
 
 def candidate_groups(rounds: Iterable[DataFrame], least: float) -> DataFrame:
     """(node, root): keys that share a candidate group, from rows (slice int, payload binary). Keys with no candidate have no row.
 
     Each round has bands of its own, whose entries leave the disk before the next."""
-    edges = []
-    for packed in rounds:
-        edges.append(candidate_edges(packed, least))
-        free_shuffles(packed.sparkSession)
-    return connected_components(reduce(DataFrame.union, edges), "a", "b")
+    return connected_components(reduce(DataFrame.union, [candidate_edges(packed, least) for packed in rounds]), "a", "b")
+
+
+def sized(groups: DataFrame) -> DataFrame:
+    """groups (node, root) with size, the number of a root's nodes. Rows of three numbers; no root gathers in a task."""
+    return join_hot(groups, groups.groupBy("root").agg(F.count("*").alias("size")), "root", "size", groups.count())
+
+
+def _bands_of(e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Different entries (band, key) of bands with several keys, sorted, and where each band starts."""
+    band = e["band"].copy()
+    order = np.argsort(band)
+    new = np.r_[True, band[order[1:]] != band[order[:-1]], True]
+    e = e[order[~(new[:-1] & new[1:])]]
+    e = e[np.lexsort((e["key"], e["band"]))]
+    same = e["band"][1:] == e["band"][:-1]
+    e = e[np.r_[True, ~(same & (e["key"][1:] == e["key"][:-1]))]] if len(e) else e
+    new = np.r_[True, e["band"][1:] != e["band"][:-1], True] if len(e) else np.ones(1, bool)
+    e = e[~(new[:-1] & new[1:])]
+    return e, np.flatnonzero(np.r_[True, e["band"][1:] != e["band"][:-1]]) if len(e) else np.zeros(0, np.int64)
 
 
 def candidate_edges(packed: DataFrame, least: float) -> DataFrame:
-    """(a, b): forest links of the candidates that one round's bands give."""
+    """(a, b): links that join the candidates which one round's bands give."""
     bits = agreeing(least)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, starts in whole_groups(batches, ["slice"], 1):
             payloads = table.column("payload").to_pylist()
             for lo, hi in zip(starts, [*starts[1:], len(payloads)], strict=True):
-                e = np.frombuffer(b"".join(payloads[lo:hi]), ENTRY)
-                e = e[np.argsort(e["band"], kind="stable")]
-                new = np.r_[True, e["band"][1:] != e["band"][:-1]] if len(e) else np.zeros(0, bool)
-                at = np.flatnonzero(new)
-                n = np.diff(np.r_[at, len(e)])
-                forest, edges, wide = Forest(), [], []
-                two = at[n == 2]
-                ok = (e["key"][two] != e["key"][two + 1]) & (_agree(e["sketch"][two], e["sketch"][two + 1]) >= bits)
-                for s, t in zip(e["key"][two[ok]].tolist(), e["key"][two[ok] + 1].tolist(), strict=True):
-                    if forest.union(s, t):
-                        edges.append((s, t))
-                for i, size in zip(at[n > 2], n[n > 2], strict=True):
-                    own = e[i : i + size]
-                    _, first = np.unique(own["key"], return_index=True)
-                    own = own[first]
-                    if len(own) > WIDE:
-                        wide.append(own)
-                    elif len(own) > 1:
-                        edges += _edges_within(own["key"], own["sketch"], bits, forest)
-                w = np.concatenate(wide) if wide else e[:0]
-                size = np.repeat([len(x) for x in wide], [len(x) for x in wide]).astype(np.int64) if wide else np.zeros(0, np.int64)
-                none = [None] * len(edges)
+                e, at = _bands_of(np.frombuffer(b"".join(payloads[lo:hi]), ENTRY))
+                size = np.repeat(np.diff(np.r_[at, len(e)]), np.diff(np.r_[at, len(e)]))
+                w, wide = e[size > WIDE], size[size > WIDE]
+                e = e[size <= WIDE]
+                at = np.flatnonzero(np.r_[True, e["band"][1:] != e["band"][:-1]]) if len(e) else at[:0]
+                keys = e["key"].copy()
+                a, b = _links(keys, e["sketch"].copy(), bits, pair_indices(at, len(e)))
+                none = np.zeros(len(a), np.int64)
+                edge = np.r_[np.ones(len(a), bool), np.zeros(len(w), bool)]
                 yield pa.RecordBatch.from_pydict({
-                    "a": pa.array(np.r_[np.array([x[0] for x in edges], np.int64), w["key"]]),
-                    "b": pa.array([x[1] for x in edges] + [None] * len(w), pa.int64()),
-                    "band": pa.array(none + w["band"].astype(np.int64).tolist(), pa.int64()),
-                    "sketch": pa.array(none + w["sketch"].astype(np.int64).tolist(), pa.int64()),
-                    "size": pa.array(none + size.tolist(), pa.int64()),
+                    "a": pa.array(np.r_[a, w["key"]]),
+                    "b": pa.array(np.r_[b, np.zeros(len(w), np.int64)], mask=~edge),
+                    "band": pa.array(np.r_[none, w["band"].astype(np.int64)], mask=edge),
+                    "sketch": pa.array(np.r_[none, w["sketch"].astype(np.int64)], mask=edge),
+                    "size": pa.array(np.r_[none, wide], mask=edge),
                 })
 
     met = packed.repartition("slice").sortWithinPartitions("slice").mapInArrow(meet, "a long, b long, band long, sketch long, size long")
@@ -169,12 +191,8 @@ def candidate_edges(packed: DataFrame, least: float) -> DataFrame:
     def meet_wide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, starts in whole_groups(batches, group, 2048):
             key, sketch, own, i, j = (table.column(c).to_numpy() for c in ("a", "sketch", "_own", "_i", "_j"))
-            edges: list[tuple[int, int]] = []
-            for lo, hi in zip(starts, [*starts[1:], table.num_rows], strict=True):
-                at = np.arange(lo, hi)
-                crossed = (at[own[at] == i[lo]], at[own[at] == j[lo]])
-                edges += _edges_within(key, sketch.view(np.uint64), bits, Forest(), crossed)
-            yield pa.RecordBatch.from_pydict({"a": pa.array([x[0] for x in edges], pa.int64()), "b": pa.array([x[1] for x in edges], pa.int64())})
+            a, b = _links(key, sketch.view(np.uint64), bits, pair_indices(starts, table.num_rows, own, i != j))
+            yield pa.RecordBatch.from_pydict({"a": a, "b": b})
 
     wide = deal_blocks(met.where("band is not null").select("a", "band", "sketch", "size"), "a", "size", 1024)
     more = wide.repartition(*group).sortWithinPartitions(*group).mapInArrow(meet_wide, "a long, b long")
@@ -191,7 +209,7 @@ def bloom_of(keys: DataFrame, column: str, bits: int = 1 << 25) -> np.ndarray:
         for b in batches:
             for at in _bloom_at(b.column(0).to_numpy(), bits):
                 held[at] = True
-        yield pa.RecordBatch.from_pydict({"slot": pa.array([TaskContext.get().partitionId() % 16], pa.int32()), "held": pa.array([np.packbits(held).tobytes()], pa.binary())})
+        yield pa.RecordBatch.from_pydict({"slot": pa.array([TaskContext.get().partitionId() % 8], pa.int32()), "held": pa.array([np.packbits(held).tobytes()], pa.binary())})
 
     def add(table: pa.Table) -> pa.Table:
         total = np.zeros(bits // 8, np.uint8)
@@ -201,7 +219,7 @@ def bloom_of(keys: DataFrame, column: str, bits: int = 1 << 25) -> np.ndarray:
 
     total = np.zeros(bits // 8, np.uint8)
     few = keys.select(column).coalesce(64)
-    for row in few.mapInArrow(fill, "slot int, held binary").groupBy("slot").applyInArrow(add, "held binary").toLocalIterator():
+    for row in few.mapInArrow(fill, "slot int, held binary").groupBy("slot").applyInArrow(add, "held binary").collect():  # 8 filters
         total |= np.frombuffer(row.held, np.uint8)
     return total
 
@@ -220,10 +238,6 @@ def maybe_in(bloom: np.ndarray, keys: np.ndarray) -> np.ndarray:
 def _linked(sets: list[np.ndarray], least: float, cell_limit: int = 1 << 23) -> np.ndarray:
     """Which pairs of sets have a Jaccard similarity of at least `least`."""
     n = np.array([len(s) for s in sets], np.int64)
-    if len(sets) == 2:
-        inter = len(np.intersect1d(sets[0], sets[1], assume_unique=True))
-        ok = inter >= least * (n.sum() - inter) - 1e-9
-        return np.array([[False, ok], [ok, False]])
     flat = np.concatenate(sets)
     row = np.repeat(np.arange(len(sets)), n)
     _, column, count = np.unique(flat, return_inverse=True, return_counts=True)
@@ -247,44 +261,81 @@ def _linked(sets: list[np.ndarray], least: float, cell_limit: int = 1 << 23) ->
     return ok
 
 
-def unpacked(column: pa.BinaryArray) -> list[np.ndarray]:
-    """Shingle sets from bytes: distinct 64-bit hashes in ascending order."""
-    return [np.frombuffer(x.as_buffer(), np.uint64) for x in column]
+#: A candidate group of up to so many members is compared by sorting, a larger one by a matrix product.
+FEW = 16
+#: Shingles that are compared at once, but for a larger group.
+AT_ONCE = 1 << 17
+
+
+def unpacked(column: pa.BinaryArray) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles from bytes: 64-bit hashes of all sets, and how many each has."""
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint64), pc.binary_length(column).to_numpy(zero_copy_only=False).astype(np.int64) // 8
+
+
+def _shared(hashes: np.ndarray, counts: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For rows with counts hashes each (repeats don't matter), in groups of at most FEW that begin at starts: row pairs (a, b) with a common
+    hash, how many they share, and how many different hashes each row has."""
+    n = len(counts)
+    row = np.repeat(np.arange(n), counts)
+    group = np.repeat(np.arange(len(starts), dtype=np.uint64), np.diff(np.r_[starts, n]))
+    tagged = hashes ^ mix64(group + np.uint64(1))[row]
+    order = np.argsort(tagged, kind="stable")  # rows ascend where hashes are equal
+    tagged, row = tagged[order], row[order]
+    new = np.r_[True, tagged[1:] != tagged[:-1]] if len(row) else np.zeros(0, bool)
+    first = new | np.r_[True, row[1:] != row[:-1]] if len(row) else new
+    tagged, row, new = tagged[first], row[first], new[first]
+    size = np.bincount(row, minlength=n)
+    share = np.zeros(n * FEW, np.int64)
+    for a, b in pair_indices(np.flatnonzero(new), len(row), at_once=8 * AT_ONCE):
+        share += np.bincount(row[a] * FEW + row[b] - row[a], minlength=n * FEW)
+    pair = np.flatnonzero(share)
+    return pair // FEW, pair // FEW + pair % FEW, share[pair], size
 
 
-def verified_links(members: DataFrame, groups: DataFrame, least: float, sets_of: Callable[[pa.Array], list[np.ndarray]] = unpacked, block: int = 256) -> DataFrame:
-    """From rows (root, key, weight, shingles) of all candidate groups (node, root): (key, links, other).
+def verified_links(members: DataFrame, least: float, sets_of: Callable[[pa.Array], tuple[np.ndarray, np.ndarray]] = unpacked, block: int = 256) -> DataFrame:
+    """From rows (root, size, key, weight, shingles) of all candidate groups, root and size being a group's name and its number of members:
+    (key, links, other).
 
-    Rows with other are edges of a spanning forest of each block pair's verified links; links sums the weights of the keys
-    that a key links with. sets_of makes shingle sets of the column shingles, in the task that compares them.
+    Rows with other join what each block pair's verified links join; links sums the weights of the keys that a key links with.
+    sets_of makes shingles of the column shingles, in the task that compares them.
     """
-    sizes = groups.groupBy("root").agg(F.count("*").alias("size"))
     group = ["root", "_i", "_j"]
-    dealt = deal_blocks(members.join(sizes, "root"), "key", "size", block).select(*group, "_own", "key", "weight", "shingles")
+    dealt = deal_blocks(members, "key", "size", block).select(*group, "_own", "key", "weight", "shingles")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table, starts in whole_groups(batches, group, 256):
+        for table, starts in whole_groups(batches, group, 1024):
+            n = table.num_rows
             key, weight, own, i, j = (table.column(c).to_numpy() for c in ("key", "weight", "_own", "_i", "_j"))
-            sets = sets_of(table.column("shingles").combine_chunks())
-            total = np.zeros(table.num_rows, np.int64)
-            edges: list[tuple[int, int]] = []
-            for lo, hi in zip(starts, [*starts[1:], table.num_rows], strict=True):
-                if hi - lo < 2:
-                    continue
-                ok = _linked(sets[lo:hi], least)
-                if i[lo] != j[lo]:
-                    ok &= own[lo:hi, None] != own[None, lo:hi]
-                total[lo:hi] = ok @ weight[lo:hi]
-                forest = Forest()
-                a, b = np.nonzero(np.triu(ok))
-                for s, t in zip(key[lo + a].tolist(), key[lo + b].tolist(), strict=True):
-                    if forest.union(s, t):
-                        edges.append((s, t))
-            some = np.flatnonzero(total)
+            hashes, counts = sets_of(table.column("shingles").combine_chunks())
+            at = np.r_[0, np.cumsum(counts)]
+            ends = np.r_[starts[1:], n]
+            links = np.zeros(n, np.int64)
+            a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            few = ends - starts <= FEW
+            # runs of small groups that have about AT_ONCE shingles together
+            run = np.cumsum(np.r_[True, (few[1:] != few[:-1]) | ~few[1:] | (at[ends[1:]] // AT_ONCE != at[ends[:-1]] // AT_ONCE)])
+            for r in np.split(np.arange(len(starts)), np.flatnonzero(run[1:] != run[:-1]) + 1):
+                lo, hi = starts[r[0]], ends[r[-1]]
+                if few[r[0]]:
+                    x, y, share, size = _shared(hashes[at[lo] : at[hi]], counts[lo:hi], starts[r] - lo)
+                    ok = share >= least * (size[x] + size[y] - share) - 1e-9
+                    x, y = x[ok] + lo, y[ok] + lo
+                else:
+                    x, y = np.nonzero(np.triu(_linked([np.unique(hashes[at[k] : at[k + 1]]) for k in range(lo, hi)], least)))
+                    x, y = x + lo, y + lo
+                met = (i[x] == j[x]) | (own[x] != own[y])
+                x, y = x[met], y[met]
+                np.add.at(links, x, weight[y])
+                np.add.at(links, y, weight[x])
+                node, root = star_edges(key[x], key[y])
+                a.append(node)
+                b.append(root)
+            some = np.flatnonzero(links)
+            a, b = np.concatenate(a), np.concatenate(b)
             yield pa.RecordBatch.from_pydict({
-                "key": pa.array(np.r_[key[some], np.array([e[0] for e in edges], np.int64)]),
-                "links": pa.array(np.r_[total[some], np.zeros(len(edges), np.int64)]),
-                "other": pa.array([None] * len(some) + [e[1] for e in edges], pa.int64()),
+                "key": pa.array(np.r_[key[some], a]),
+                "links": pa.array(np.r_[links[some], np.zeros(len(a), np.int64)]),
+                "other": pa.array(np.r_[np.zeros(len(some), np.int64), b], mask=np.r_[np.ones(len(some), bool), np.zeros(len(a), bool)]),
             })
 
     return cut(dealt.repartition(*group).sortWithinPartitions(*group).mapInArrow(verify, "key long, links long, other long"))

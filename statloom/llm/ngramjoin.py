@@ -19,8 +19,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from statloom.llm.common import connected_components, cut
-from statloom.llm.minhash import Signer, bands_for, bloom_of, candidate_groups, maybe_in, mix64, slices, verified_links
+from statloom.llm.common import connected_components, cut, join_hot
+from statloom.llm.minhash import Signer, bands_for, bloom_of, candidate_groups, maybe_in, mix64, sized, slices, verified_links
 
 WORDS, LEAST, ROWS, RECALL = 5, 0.8, 5, 0.9995
 
@@ -96,7 +96,7 @@ def joined(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", word
                     own = [sets[i] for i in some]
                     keys = _keys(own)
                     starts = np.r_[0, np.cumsum([len(s) for s in own])[:-1]]
-                    entries = signer.entries(keys, (np.concatenate(own) >> np.uint64(16)).astype(np.uint32), starts)
+                    entries = signer.entries(keys, signer.signatures((np.concatenate(own) >> np.uint64(16)).astype(np.uint32), starts))
                 key, packed = [None] * len(texts), [None] * len(texts)
                 for i, k, e in zip(some, keys.tolist(), entries, strict=True):
                     key[i], packed[i] = k, e.tobytes()
@@ -130,20 +130,24 @@ def joined(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", word
                         out.append((int(keys[i]), sets[i].tobytes()))
                 yield pa.RecordBatch.from_pydict({"key": pa.array([k for k, _ in out], pa.int64()), "shingles": pa.array([s for _, s in out], pa.binary())})
 
+    n_rows = signed.count()
     classes = signed.where("key is not null").groupBy("key").agg(F.count("*").alias("weight"), F.min("id").alias("least_id"))
-    classes = cut(classes.join(groups.withColumnRenamed("node", "key"), "key", "left"))
+    classes = cut(classes.join(sized(groups).withColumnRenamed("node", "key"), "key", "left"))
     full = plain.select("text").mapInArrow(fetch, "key long, shingles binary").dropDuplicates(["key"])
-    members = full.join(classes.where("root is not null").select("key", "weight", "root"), "key")
-    links = verified_links(members, groups, least)
+    members = full.join(classes.where("root is not null").select("key", "weight", "root", "size"), "key")
+    links = verified_links(members, least)
     counted = links.where("links > 0").groupBy("key").agg(F.sum("links").alias("links"))
     roots = connected_components(links.where("other is not null"), "key", "other")
-    kin = classes.drop("root").join(counted, "key", "left").join(roots.withColumnRenamed("node", "key"), "key", "left")
-    kin = cut(kin.select("key", F.coalesce("root", "key").alias("root"), "least_id", (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("links")))
-    kin = kin.join(kin.groupBy("root").agg(F.min("least_id").alias("component")), "root")
-    out = signed.select("row", "id", "key").join(kin.select("key", "root", "links", "component"), "key", "left")
-    firsts = out.where("root is not null").groupBy("root").agg(F.min(F.struct(F.col("id").isNull(), F.col("id"), F.col("row")))["row"].alias("first_row"))
-    out = out.join(firsts, "root", "left")
-    return out.select("row", "id", F.coalesce("component", "id").alias("component"), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), (F.col("first_row").isNull() | (F.col("first_row") == F.col("row"))).alias("first"))
+    kin = classes.drop("root", "size").join(counted, "key", "left").join(roots.withColumnRenamed("node", "key"), "key", "left")
+    kin = cut(kin.select("key", F.coalesce("root", "key").alias("root"), "least_id", "weight", (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("links")))
+    named = kin.groupBy("root").agg(F.min("least_id").alias("component"), F.count("*").alias("classes"))
+    kin = join_hot(kin, named, "root", "classes", n_rows)
+    out = join_hot(signed.select("row", "id", "key"), kin.select("key", "root", "weight", "links", "component"), "key", "weight", n_rows)
+    out = cut(out.select("row", "id", "root", "links", "component"))
+    firsts = out.groupBy("root").agg(F.min(F.struct(F.col("id").isNull(), F.col("id"), F.col("row")))["row"].alias("first_row"), F.count("*").alias("rows"))
+    out = join_hot(out, firsts, "root", "rows", n_rows).select("row", "id", F.coalesce("component", "id").alias("component"), "links", (F.col("first_row") == F.col("row")).alias("first"))
+    alone = signed.where("key is null").select("row", "id", F.col("id").alias("component"), F.lit(0).alias("links"), F.lit(True).alias("first"))
+    return out.union(alone).select("row", "id", "component", F.col("links").cast("long").alias("n_links"), "first")
 
 
 def one_of_each(docs: DataFrame, **options) -> DataFrame:

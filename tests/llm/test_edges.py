@@ -12,7 +12,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from statloom.llm import bpe, capfilters, htmltext, linededup, mixing, ngramjoin, packing, pii, topk, toxicity
-from statloom.llm.common import Forest, pair_indices
+from statloom.llm.common import pair_indices, star_edges
 from tests.llm.edge import brute_join, brute_lines, documents
 
 RANKS, JSON, PATTERN = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN
@@ -179,11 +179,17 @@ def test_top_k(spark):
     rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(400, None), (401, [1, 2]), (402, []), (None, [1] * 6)]
     df = spark.createDataFrame(rows, "vec_id long, v array<long>")
     full = {i: np.r_[v, np.zeros(6 - len(v), int)] for i, v in rows if v is not None and i is not None}
-    got = {(g.query_id, g.rank): (g.vec_id, g.score) for g in topk.top_k(df, df.where("vec_id % 10 = 0"), k=4, head=16, pass_bytes=2000).collect()}
+    got = {(g.query_id, g.rank): (g.vec_id, g.score) for g in topk.top_k(df, df.where("vec_id % 10 = 0"), k=4, head=16, part_bytes=2000).collect()}
     for q in [i for i in full if i % 10 == 0]:
         best = sorted(((-int(full[q] @ v), i) for i, v in full.items() if i != q))[:4]
         assert [got[q, k + 1] for k in range(4)] == [(i, -s) for s, i in best]
     assert topk.top_k(df.limit(0), df.limit(0)).count() == 0
+    big = [(1, [10**10, 1]), (2, [2**63 - 1, -(2**63)]), (3, [-(2**63), 3]), (4, [3 * 10**9, 3 * 10**9]), (5, [0, 0]), (6, [10**10, 1]), (6, [10**10, 1])]
+    got = {(g.query_id, g.rank): (g.vec_id, g.score) for g in topk.top_k(spark.createDataFrame(big, "vec_id long, v array<long>"), spark.createDataFrame(big, "vec_id long, v array<long>"), k=9).collect()}
+    held = lambda a, b: max(-(2**63), min(2**63 - 1, sum(p * q for p, q in zip(a, b, strict=True))))
+    for q, a in big:
+        best = sorted((-held(a, v), i) for i, v in big if i != q)
+        assert [got.get((q, n + 1)) for n in range(len(best) + 1)] == [*((i, -s) for s, i in best), None]
     bad = spark.createDataFrame([(1, [1.0, float("nan")]), (2, [None, 1.0]), (3, None), (4, [1.0]), (5, [float("inf")])], "i int, v array<double>")
     assert [b.i for b in bad.where(topk.usable(F.col("v"))).collect()] == [4]
 
@@ -247,11 +253,26 @@ def test_pairs_and_forest():
     starts, n = np.array([0, 3, 4]), 8
     got = {(int(x), int(y)) for a, b in pair_indices(starts, n, at_once=2) for x, y in zip(a, b, strict=True)}
     assert got == {(0, 1), (0, 2), (1, 2), (4, 5), (4, 6), (4, 7), (5, 6), (5, 7), (6, 7)}
-    f = Forest()
-    assert f.union(3, 1) and f.union(2, 3) and not f.union(1, 2) and f.find(2) == 1
+    node, root = star_edges(np.array([3, 2, 9, -4, 7]), np.array([1, 3, 8, 9, 7]))
+    assert dict(zip(node.tolist(), root.tolist(), strict=True)) == {2: 1, 3: 1, 8: -4, 9: -4}
+    r = np.random.default_rng(0)
+    path = r.permutation(2000)
+    node, root = star_edges(path[1:], path[:-1])
+    assert sorted(node.tolist()) == list(range(1, 2000)) and not root.any()
 
 
 def test_digest():
     from statloom.llm.q_bpe import digest
 
     assert digest(np.array([1], "<u4"), b"x")["ids_sha256"] == hashlib.sha256(b"\1\0\0\0").hexdigest()
+
+
+def test_top_k_query_of_large_components(spark, tmp_path):
+    """floor(256 * x) of components beyond a long is held at its ends, and so are scores."""
+    from statloom.llm.q_topk import op6_topk
+
+    rows = [(0, [1e10, 1.0]), (50, [1e300, -1e300]), (7, [0.5, -0.5]), (8, [None, 1.0]), (9, [float("nan"), 1.0]), (10, None), (None, [1.0, 1.0]), (11, [-1e10, 0.0])]
+    spark.createDataFrame(rows, "vec_id long, embedding array<double>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = [(r.query_id, r["rank"], r.vec_id, r.score) for r in op6_topk(spark, str(tmp_path)).orderBy("query_id", "rank").collect()]
+    top = 2**63 - 1
+    assert got == [(0, 1, 50, top), (0, 2, 7, 2560000000000 * 128 - 256 * 128), (0, 3, 11, -(2560000000000**2) if 2560000000000**2 <= top else -top - 1), (50, 1, 0, top), (50, 2, 7, top), (50, 3, 11, -top - 1)]

@@ -14,8 +14,8 @@ def met(shared, one, two, rows, recall, n=4000):
     """The share of n pairs of sets, with shared members and some of their own, that are candidates."""
     signer, at = Signer(bands_for(0.8, rows, recall), rows), np.arange(n)
     hashes = np.random.default_rng(1).integers(0, 1 << 32, (n, shared + one + two), dtype=np.uint64).astype(np.uint32)
-    a = signer.entries(at, hashes[:, : shared + one].ravel(), at * (shared + one))
-    b = signer.entries(at, np.delete(hashes, range(shared, shared + one), 1).ravel(), at * (shared + two))
+    a = signer.entries(at, signer.signatures(hashes[:, : shared + one].ravel(), at * (shared + one)))
+    b = signer.entries(at, signer.signatures(np.delete(hashes, range(shared, shared + one), 1).ravel(), at * (shared + two)))
     return ((a["band"] == b["band"]).any(axis=1) & (_agree(a["sketch"][:, 0], b["sketch"][:, 0]) >= agreeing(0.8))).mean()
 
 
