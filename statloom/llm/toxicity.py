@@ -1,7 +1,8 @@
 """Toxicity by Levenshtein automata over a learned lexicon trie.
 
 The lexicon is learned from labelled documents: whole words and word stems (prefixes) that occur in toxic documents far more
-often than chance, counted once per group of near copies. Terms form a trie. The intersection of the trie with the
+often than chance. Rows that share their least run of three words (near copies mostly do) weigh as one row, a millionth being the
+unit, so that sums are whole numbers and reruns agree. Terms form a trie. The intersection of the trie with the
 Levenshtein automata of a word (one edit; none for terms under 5 characters) is walked as one deterministic automaton, whose
 states are sets of (trie node, edits) and are built when first met; so each character of a text costs one lookup, and words
 that are near no term are left after a few characters. A stem matches at the start of a word.
@@ -9,11 +10,12 @@ that are near no term are left after a few characters. A stem matches at the sta
 Each term has one weight for exact and one for misspelled occurrences, its log-odds among labelled documents. A window of
 words around a match tells quotation (it stands between quotation marks, or a reporting word precedes it) from abuse; the two
 kinds of evidence are separate inputs of a logistic regression, which is fitted on a bounded sample (fit_rows labelled rows,
-the smallest hashes of their ids) and drawn towards fixed weights where labels say nothing.
+the smallest hashes of their ids) and drawn towards fixed weights where labels say nothing. Words and stems are counted and
+chosen in Spark; the driver receives the terms that chance doesn't explain, of which there are no more than those rows can prove.
 
 Defined results: a text that is null or holds no term gets the score of no evidence; if no label can be learned from, no term
 is known and every score is 0; null ids are scored and are never learned from; of several labels of one id the mean counts; an
-empty table gives an empty result; ids, language and source are no inputs.
+empty table gives an empty result; ids, language and source are no inputs; score() replaces columns named tx_score or tx_matches.
 """
 
 from __future__ import annotations
@@ -34,7 +36,9 @@ from pyspark.sql import functions as F
 
 from statloom.llm.common import cut
 
-FIT_ROWS, MAX_TERMS, MAX_CANDIDATES = 20_000, 2_000, 100_000
+FIT_ROWS = 20_000
+#: What a row weighs that has no copy.
+ONE = 1_000_000
 PREFIXES = (4, 5, 6, 7)
 FUZZY_FROM = 5
 WORD = re.compile(r"\w+")
@@ -208,37 +212,46 @@ def _first_copy(text: str, words: int = 3) -> int:
     return min((xxhash.xxh3_64_intdigest(b" ".join(w[i : i + words])) for i in range(max(1, len(w) - words + 1))), default=0) >> 1
 
 
-def _counted(rows: DataFrame, known: frozenset[str] | None) -> DataFrame:
+def _counted(rows: DataFrame) -> DataFrame:
+    """(f, t, c): weights of the toxic and of the clean rows that hold a feature."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: Counter[str] = Counter()
-        for b in batches:
-            for text in b.column("text"):
-                f = features_of(text.as_py())
-                total.update(f if known is None else f & known)
-            if len(total) > 500_000:
-                yield pa.RecordBatch.from_pydict({"f": list(total), "n": list(total.values())})
-                total = Counter()
-        yield pa.RecordBatch.from_pydict({"f": pa.array(list(total), pa.string()), "n": pa.array(list(total.values()), pa.int64())})
+        total: tuple[Counter[str], Counter[str]] = (Counter(), Counter())
 
-    return rows.select("text").mapInArrow(run, "f string, n long").groupBy("f").agg(F.sum("n").alias("n"))
+        def out() -> pa.RecordBatch:
+            f = list(total[0].keys() | total[1].keys())
+            made = pa.RecordBatch.from_pydict({"f": pa.array(f, pa.string()), "t": pa.array([total[1][x] for x in f], pa.int64()), "c": pa.array([total[0][x] for x in f], pa.int64())})
+            for t in total:
+                t.clear()
+            return made
 
+        for b in batches:
+            for y, w, text in zip(b.column("y").to_pylist(), b.column("w").to_pylist(), b.column("text"), strict=True):
+                own = total[y]
+                for f in features_of(text.as_py()):
+                    own[f] += w
+                if len(own) > 500_000:
+                    yield out()
+        yield out()
 
-def choose_terms(toxic: dict[str, int], clean: dict[str, int], n_toxic: int, n_clean: int, purity: float = 0.5) -> list[str]:
-    """Terms that chance doesn't explain, the most telling first, none that covers or extends a stem chosen before it."""
-    share = min(0.9, max(1e-6, n_toxic / max(1, n_toxic + n_clean)))
-    least = max(3.0, math.log(max(1, len(toxic)) / 0.01) / -math.log(share))
+    return rows.select("y", "w", "text").mapInArrow(run, "f string, t long, c long").groupBy("f").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
 
-    def told(f: str) -> float:
-        t, c = toxic[f], clean.get(f, 0)
-        p = (t + 0.1) / (t + c + 0.2)
-        return t * math.log(p / share) + c * math.log((1 - p) / (1 - share))
 
-    good = [f for f, t in toxic.items() if t >= least and t >= max(purity, share) * (t + clean.get(f, 0))]
-    good.sort(key=lambda f: (-round(told(f), 6), f.endswith("*"), -len(f), f))
+def choose_terms(counted: DataFrame, n_toxic: int, n_clean: int, purity: float = 0.5) -> list[str]:
+    """Terms of counted (f, t, c) that chance doesn't explain, the most telling first, none that covers or extends a stem chosen before it.
+
+    n_toxic, n_clean: weights of all rows."""
+    share = min(0.9, max(1e-6, n_toxic / max(1, n_toxic + n_clean)))
+    met = counted.where(F.col("t") >= 3 * ONE)
+    least = max(3.0, math.log(max(1, met.count()) / 0.01) / -math.log(share))
+    t, c = F.col("t") / ONE, F.col("c") / ONE
+    p = (t + 0.1) / (t + c + 0.2)
+    told = t * F.log(p / share) + c * F.log((1 - p) / (1 - share))
+    good = met.where((t >= least) & (t >= max(purity, share) * (t + c))).select("f", F.round(told, 6).alias("told")).collect()
     terms: list[str] = []
     stems: set[str] = set()
     parts: set[str] = set()
-    for f in good:
+    for f in [r.f for r in sorted(good, key=lambda r: (-r.told, r.f.endswith("*"), -len(r.f), r.f))]:
         bare = f.rstrip("*")
         if any(bare[:k] in stems for k in PREFIXES) or (f.endswith("*") and bare in parts):
             continue
@@ -246,8 +259,6 @@ def choose_terms(toxic: dict[str, int], clean: dict[str, int], n_toxic: int, n_c
         parts.update(bare[:k] for k in PREFIXES)
         if f.endswith("*"):
             stems.add(bare)
-        if len(terms) == MAX_TERMS:
-            break
     return terms
 
 
@@ -262,30 +273,26 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         for b in batches:
             yield pa.RecordBatch.from_pydict({"y": b.column("y"), "text": b.column("text"), "copy": pa.array([_first_copy(t.as_py()) for t in b.column("text")], pa.int64())})
 
-    rows = cut(rows.select("y", "text").mapInArrow(mark, "y int, text string, copy long").dropDuplicates(["copy"]))
-    n = {r["y"]: r["count"] for r in rows.groupBy("y").count().collect()}
+    marked = cut(rows.select("y", "text").mapInArrow(mark, "y int, text string, copy long"))
+    copies = marked.groupBy("copy", "y").agg(F.expr(f"greatest(1, {ONE} div count(*))").alias("w"))  # no more rows than are fitted
+    rows = cut(marked.join(F.broadcast(copies), ["copy", "y"]).select("y", "w", "text"))
+    n = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.sum("w").alias("n")).collect()}
     n_toxic, n_clean = n.get(1, 0), n.get(0, 0)
     empty = Model(Lexicon([]), (-40.0, 0.0, 0.0, 0.0))
     if not n_toxic:
         return empty
-    top = _counted(rows.where("y = 1"), None).where("n >= 3").orderBy(F.desc("n"), "f").limit(MAX_CANDIDATES)
-    toxic = {r["f"]: r["n"] for r in top.collect()}
-    clean = {r["f"]: r["n"] for r in _counted(rows.where("y = 0"), frozenset(toxic)).collect()}
-    lexicon = Lexicon(choose_terms(toxic, clean, n_toxic, n_clean))
+    lexicon = Lexicon(choose_terms(_counted(rows), n_toxic, n_clean))
 
     def matched(batches):
         for b in batches:
-            ys, spans = b.column("y").to_pylist(), [lexicon.spans(t.as_py()) for t in b.column("text")]
-            yield pa.RecordBatch.from_pydict({
-                "y": pa.array([y for y, s in zip(ys, spans, strict=True) for _ in {(x[2], x[3]) for x in s}], pa.int32()),
-                "term": pa.array([t for s in spans for t, _ in sorted({(x[2], x[3]) for x in s})], pa.int32()),
-                "edits": pa.array([e for s in spans for _, e in sorted({(x[2], x[3]) for x in s})], pa.int32()),
-            })
+            made = [(y, w, t, e) for y, w, text in zip(b.column("y").to_pylist(), b.column("w").to_pylist(), b.column("text"), strict=True) for t, e in sorted({(x[2], x[3]) for x in lexicon.spans(text.as_py())})]
+            y, w, t, e = zip(*made, strict=True) if made else ((), (), (), ())
+            yield pa.RecordBatch.from_pydict({"y": pa.array(y, pa.int32()), "w": pa.array(w, pa.int64()), "term": pa.array(t, pa.int32()), "edits": pa.array(e, pa.int32())})
 
     counts = Counter()
-    for r in rows.mapInArrow(matched, "y int, term int, edits int").groupBy("term", "edits", "y").count().collect():  # two edits of each term
-        counts[r["term"], r["edits"], r["y"]] = r["count"]
-    odds = math.log((n_clean + 1) / (n_toxic + 1))
+    for r in rows.mapInArrow(matched, "y int, w long, term int, edits int").groupBy("term", "edits", "y").agg(F.sum("w").alias("n")).collect():  # two edits of each term
+        counts[r["term"], r["edits"], r["y"]] = r["n"] / ONE
+    odds = math.log((n_clean / ONE + 1) / (n_toxic / ONE + 1))
     weigh = lambda t, c: max(0.0, min(6.0, math.log((t + 0.5) / (c + 0.5)) + odds))
     for i in range(len(lexicon.terms)):
         exact = weigh(counts[i, 0, 1], counts[i, 0, 0])
@@ -296,20 +303,21 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     def seen(batches):
         for b in batches:
             e = [lexicon.evidence(t.as_py()) for t in b.column("text")]
-            yield pa.RecordBatch.from_pydict({"y": b.column("y"), **{c: pa.array([x[i] for x in e], pa.float64()) for i, c in enumerate("adq")}})
+            yield pa.RecordBatch.from_pydict({"y": b.column("y"), "w": b.column("w"), **{c: pa.array([x[i] for x in e], pa.float64()) for i, c in enumerate("adq")}})
 
-    table = rows.mapInArrow(seen, "y int, a double, d double, q double").toPandas()  # at most fit_rows rows of four numbers, but for repeated ids
-    x, y = table[["a", "d", "q"]].to_numpy(), table["y"].to_numpy(float)
-    return Model(lexicon, _logistic(x, y, np.array([-3.0, 2.0, 2.0, 0.5])))
+    table = rows.mapInArrow(seen, "y int, w long, a double, d double, q double").groupBy("y", "a", "d", "q").agg(F.sum("w").alias("w"))
+    table = table.toPandas().sort_values(["y", "a", "d", "q"])  # at most fit_rows rows of five numbers
+    x, y, w = table[["a", "d", "q"]].to_numpy(), table["y"].to_numpy(float), table["w"].to_numpy() / ONE
+    return Model(lexicon, _logistic(x, y, w, np.array([-3.0, 2.0, 2.0, 0.5])))
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, prior: np.ndarray, pull: float = 2.0) -> tuple[float, ...]:
+def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, prior: np.ndarray, pull: float = 2.0) -> tuple[float, ...]:
     """Logistic regression with an intercept, drawn towards prior."""
     x = np.c_[np.ones(len(x)), x]
     w = prior.copy()
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + pull * np.eye(len(w)), x.T @ (p - y) + pull * (w - prior))
+        step = np.linalg.solve((x * (weight * p * (1 - p))[:, None]).T @ x + pull * np.eye(len(w)), x.T @ (weight * (p - y)) + pull * (w - prior))
         w -= np.clip(step, -2, 2)
         if np.abs(step).max() < 1e-8:
             break
@@ -322,16 +330,16 @@ MATCHES = "array<struct<start:int,end:int,term:string,edits:int,quoted:boolean>>
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", keep: Sequence[str] | None = None, matches: bool = True) -> DataFrame:
     """docs' columns in keep (all by default), tx_score, and with matches, tx_matches (spans of the lower-cased text)."""
-    keep = list(docs.columns if keep is None else keep)
+    keep = [c for c in (docs.columns if keep is None else keep) if c not in ("tx_score", "tx_matches")]
     shared = docs.sparkSession.sparkContext.broadcast((tuple(model.lexicon.terms), tuple(model.lexicon.weights), model.coefficients))
-    rows = docs.select(*keep, F.col(text_col).cast("string").alias("tx_text"))
+    rows = docs.select(F.struct(*keep).alias("tx_row"), F.col(text_col).cast("string").alias("tx_text"))
 
     @F.pandas_udf("double")
     def scores(texts: pd.Series) -> pd.Series:
         model = _ready(*shared.value)
         return pd.Series([model.score(t) for t in texts], dtype="float64")
 
-    out = rows.withColumn("tx_score", scores("tx_text"))
+    out = [scores("tx_text").alias("tx_score")]
     if matches:
 
         @F.pandas_udf(MATCHES)
@@ -340,8 +348,8 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", keep: Sequence[
             spans = (lex.spans(t) if t and lex.terms else () for t in texts)
             return pd.Series([[{"start": s, "end": e, "term": lex.terms[t], "edits": d, "quoted": q} for s, e, t, d, q in x] for x in spans], dtype=object)
 
-        out = out.withColumn("tx_matches", all_found("tx_text"))
-    return out.drop("tx_text")
+        out.append(all_found("tx_text").alias("tx_matches"))
+    return rows.select("tx_row", *out).select("tx_row.*", *[F.col(c) for c in ("tx_score", "tx_matches")[: len(out)]])
 
 
 @lru_cache(maxsize=2)
