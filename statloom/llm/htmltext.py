@@ -1,13 +1,16 @@
 """Main text of web pages by site template removal.
 
-Every element subtree that holds text is hashed (tag, own text, hashes of its children). Spark counts on how many pages of a
-host each hash occurs, with partial sums, so a host with a third of all pages is no bottleneck. A subtree that recurs on many
-pages of its host is template and is deleted. Paragraphs and headings of an article are never judged by recurrence, since
-articles quote each other; other elements in it are template only if they recur on half of the host's pages.
+Every element subtree that holds text is hashed (tag, own text, hashes of its children). Spark counts on how many different
+pages of a host each hash occurs, with partial sums, so a host with a third of all pages is no bottleneck; pages of a host whose
+main text is the same are one page there, however often it was fetched. A subtree that recurs on many pages of its host is
+template and is deleted. In an article only blocks are judged by recurrence, not headings nor what stands within a line, and a
+share of half of the host's pages is asked for, since articles quote each other and share headings.
 
 What a page says of itself is heeded first: navigation, headers and footers outside the article, asides, forms, scripts and
 styles go, and so do elements whose class, id or role names an advert, a notice, a sidebar, a menu, a form or reader comments.
-If there is an article (else a main element), the rest of the page goes too.
+A name says so if it ends in such a word ("user-comments") or has one before words of layout only ("ad-slot"); in an article,
+what stands within a line, and headings, go by no name. If there is an article (else a main element), the rest of the page goes
+too, but for the headline: an h1 beside an article that has none.
 
 A text's blocks are separated by block elements; white space in a block becomes one space, and blocks are joined by one.
 
@@ -52,6 +55,15 @@ sidebar sidenav aside menu menubar nav navbar navigation breadcrumb breadcrumbs
 comment comments commentlist reply replies respond discussion disqus
 share sharing social related recommended widget search form contentinfo complementary
 """.split())
+#: Words of layout, which may follow one of those words in a name.
+LAYOUT = frozenset("""
+area bar block body box button buttons card column container content div first group header heading holder icon icons inner
+item items label last left link links list main middle module outer page panel part region right row section site slot small
+space super text title top unit view widget widgets wrap wrapper zone
+""".split())
+#: Elements that stand within a line.
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 #: A start tag of the first closes an open element of the second without its end tag.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "option": {"select", "datalist"}}
@@ -60,7 +72,15 @@ _LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>")
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s"'>]++)""", re.I)
 _SPLIT = re.compile(r"[a-z]+|[A-Z][a-z]*|[A-Z]+")
 MIN_PAGES, MIN_SHARE, MIN_SHARE_INSIDE = 5, 0.01, 0.5
-TEXTUAL = frozenset("p h1 h2 h3 h4 h5 h6 b i em strong a span u s sub sup small mark code q cite abbr blockquote pre br font".split())
+
+
+def names_clutter(names: str) -> bool:
+    """Whether a class, id or role names what isn't main text."""
+    for name in names.strip("\"'").split():
+        words = [w.lower() for w in _SPLIT.findall(name)]
+        if words and (words[-1] in NAMED or (words[0] in NAMED and LAYOUT.issuperset(words[1:]))):
+            return True
+    return False
 
 
 class Page:
@@ -94,10 +114,9 @@ class Page:
                 continue
             if name == "html":
                 continue
-            words = {w.lower() for x in _NAMES.findall(m[3]) for w in _SPLIT.findall(x)} if m[3] else ()
             self.tag.append(name)
             self.parent.append(stack[-1])
-            self.named.append(name not in ("html", "body", "main") and not NAMED.isdisjoint(words))
+            self.named.append(bool(m[3]) and name not in ("html", "body", "main") and any(map(names_clutter, _NAMES.findall(m[3]))))
             if m[3].endswith("/") and name not in BLOCKS and name not in RAW:
                 continue
             stack.append(len(self.tag) - 1)
@@ -111,8 +130,8 @@ class Page:
 
     def _text(self, node: int, html: str, start: int, end: int) -> None:
         text = html[start:end]
-        if "<" in text and (m := _LOOSE.search(text)):  # a quote in the tag isn't closed
-            text = text[: m.start()] + " " + text[m.end() :]
+        if "<" in text:
+            text = _LOOSE.sub(" ", text)  # tags in which a quote isn't closed
         self.parts.append((node, unescape(text) if "&" in text else text))
 
     def _imply(self, stack: list[int], name: str) -> None:
@@ -155,12 +174,27 @@ class Page:
             up_in, up_out = (inside[p], dropped[p]) if p >= 0 else (False, False)
             inside[i] = up_in or i in top
             tag = self.tag[i]
-            own = tag in DROPPED or (tag == "header" and not up_in) or self.named[i]
+            own = tag in DROPPED or (tag == "header" and not up_in) or (self.named[i] and not (up_in and (tag in INLINE or tag in HEADINGS)))
             dropped[i] = up_out or (own and not (holder[i] and not up_out))
         if tops:
+            headed = any(t == "h1" and i and not d for t, i, d in zip(self.tag, inside, dropped, strict=True))
+            for i in range(n):  # an h1 beside an article without one belongs to it
+                p = self.parent[i]
+                holder[i] = holder[i] or (not headed and not inside[i] and (self.tag[i] == "h1" or (p >= 0 and holder[p] and self._under_h1(i))))
             dropped = [d or not (i or h) for d, i, h in zip(dropped, inside, holder, strict=True)]
         return dropped, inside
 
+    def _under_h1(self, i: int) -> bool:
+        while i >= 0 and self.tag[i] != "h1":
+            i = self.parent[i]
+        return i >= 0
+
+    def templates(self, inside: list[bool]) -> Iterator[int]:
+        """Elements that recurrence may judge."""
+        for i, tag in enumerate(self.tag):
+            if tag not in ("html", "body", "article", "main") and not (inside[i] and (tag in INLINE or tag in HEADINGS)):
+                yield i
+
     def hashes(self) -> list[int]:
         """A hash of each subtree; 0 for one without text."""
         n = len(self.tag)
@@ -176,14 +210,16 @@ class Page:
                     own[self.parent[i]].append(b"\1" + h.to_bytes(8, "little"))
         return out
 
-    def text(self, gone: set[int]) -> str:
+    def text(self, gone: set[int] = frozenset(), dropped: list[bool] | None = None) -> str:
         """The main text without the subtrees whose hashes are in gone."""
-        dropped, _ = self.judged()
-        if gone:
-            hashes, inside = self.hashes(), self.judged()[1]
-            for i in range(len(self.tag)):
-                p = self.parent[i]
-                dropped[i] = dropped[i] or (p >= 0 and dropped[p]) or (hashes[i] in gone and not (inside[i] and self.tag[i] in TEXTUAL))
+        if dropped is None:
+            dropped, inside = self.judged()
+            if gone:
+                hashes = self.hashes()
+                found = {i for i in self.templates(inside) if hashes[i] in gone}
+                for i in range(len(self.tag)):
+                    p = self.parent[i]
+                    dropped[i] = dropped[i] or (p >= 0 and dropped[p]) or i in found
         holds: list[str] = []
         blocks: list[str] = []
         for node, text in self.parts:
@@ -208,21 +244,24 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
 
     def hash_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out: list[tuple[int, list[int], list[int]]] = []
+            out: list[tuple[int, int, list[int], list[int]]] = []
             for url, html in zip(b.column("_url").to_pylist(), b.column("_html"), strict=True):
                 page = Page(html.as_py() or "")
-                (_, inside), hashes = page.judged(), page.hashes()
-                judged = {h: i for h, i, t in zip(hashes, inside, page.tag, strict=True) if h and not (i and t in TEXTUAL) and t not in ("html", "body", "article", "main")}
-                host = xxhash.xxh3_64_intdigest(host_of(url).encode("utf-8", "surrogatepass")) >> 1
-                out.append((host, [h for h, i in judged.items() if not i], [h for h, i in judged.items() if i]))
-            yield pa.RecordBatch.from_pydict({"row": b.column("_row"), "host": pa.array([o[0] for o in out], pa.int64()), "outside": pa.array([o[1] for o in out], pa.list_(pa.int64())), "inside": pa.array([o[2] for o in out], pa.list_(pa.int64()))})
-
-    listed = cut(rows.select("_row", "_url", "_html").mapInArrow(hash_all, "row long, host long, outside array<long>, inside array<long>"))
-    subtrees = listed.select("row", "host", F.explode("outside").alias("hash"), F.lit(False).alias("inside")).union(listed.select("row", "host", F.explode("inside"), F.lit(True)))
-    hosts = listed.groupBy("host").agg(F.count("*").alias("pages"))
-    counts = subtrees.groupBy("host", "hash").agg(F.count("*").alias("n"), F.max("inside").alias("inside")).where(F.col("n") >= min_pages)
+                (dropped, inside), hashes = page.judged(), page.hashes()
+                judged = {hashes[i]: inside[i] for i in page.templates(inside) if hashes[i]}
+                host, own = (xxhash.xxh3_64_intdigest(x.encode("utf-8", "surrogatepass")) >> 1 for x in (host_of(url), page.text(dropped=dropped)))
+                out.append((host, own, [h for h, i in judged.items() if not i], [h for h, i in judged.items() if i]))
+            made = {k: pa.array([o[j] for o in out], t) for j, (k, t) in enumerate((("host", pa.int64()), ("page", pa.int64()), ("outside", pa.list_(pa.int64())), ("inside", pa.list_(pa.int64()))))}
+            yield pa.RecordBatch.from_pydict({"row": b.column("_row"), **made})
+
+    listed = cut(rows.select("_row", "_url", "_html").mapInArrow(hash_all, "row long, host long, page long, outside array<long>, inside array<long>"))
+    each = lambda rows, *keys: rows.select(*keys, F.explode("outside").alias("hash"), F.lit(False).alias("inside")).union(rows.select(*keys, F.explode("inside"), F.lit(True)))
+    first = listed.groupBy("host", "page").agg(F.min("row").alias("row"))
+    hosts = first.groupBy("host").agg(F.count("*").alias("pages"))
+    counts = each(listed.join(first, ["host", "page", "row"], "left_semi"), "host").groupBy("host", "hash").agg(F.count("*").alias("n"), F.max("inside").alias("inside")).where(F.col("n") >= min_pages)
     template = counts.join(hosts, "host").where(F.col("n") >= F.when(F.col("inside"), min_share_inside).otherwise(min_share) * F.col("pages")).select("host", "hash")
-    gone = subtrees.join(template, ["host", "hash"], "left_semi").groupBy("row").agg(F.collect_set("hash").alias("gone"))
+    gone = each(listed, "row", "host").join(template, ["host", "hash"], "left_semi").groupBy("row").agg(F.collect_set("hash").alias("gone"))
+    gone = cut(gone)  # what it shuffled leaves the disk before the pages are shuffled
     joined = rows.join(gone, F.col("_row") == F.col("row"), "left").select(id_col, "_url", "_html", "gone")
 
     @F.pandas_udf("string")
