@@ -1,12 +1,14 @@
 """Personal data by base patterns and bootstrapped context. DataFrame functions only.
 
 Base entities are regular expression matches, leftmost and non-overlapping for each kind, of which some fail a check and are
-dropped. They seed the bootstrap: the word before an entity (its cue, e.g. "tel:") is a lexical pattern, and what follows a
-pattern elsewhere is an instance: a base entity, another run of characters that holds a digit, or a few groups of digits. The pattern-instance graph
-is scored in rounds. A pattern's score for a kind is the weighted share of instances of that kind among all that follow it;
-an instance that isn't a base entity scores 1 - prod(1 - score) over its patterns. In the end, identifiers that follow a
-pattern of high score and support, and that overlap no base entity, are found too, as kind `other`. A word that precedes all
-kinds alike (an article) scores low for each.
+dropped. They and secrets of unmistakable form (long hexadecimal runs, keys with a vendor's prefix) seed the bootstrap. Three
+lexical patterns tell where an instance stands or what it looks like: the word before it ("tel"), that word with the signs
+between ("token=" and an opening quote), and, for what isn't a seed, its shape (24 letters and digits). An instance is a seed, another run of
+characters that holds a digit, or a few groups of digits. The pattern-instance graph is scored in rounds. A pattern's score for
+a kind is the weighted share of instances of that kind among all that it has; an instance that isn't a seed scores
+1 - prod(1 - score) over its patterns. So a context that secrets follow lends its trust to other instances there, and those to
+their shape. In the end, identifiers with a pattern of high score and support that overlap no base entity are found too, as
+kind `other`; a secret's form alone is not enough. A word that precedes all kinds alike (an article) scores low for each.
 
 The regular expressions are written for linear time and constant stack on texts of any length: possessive loops, and starts
 only where a run of characters begins or the last match ended. Positions are code points. They come from the lengths of
@@ -21,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from statloom.llm.common import cut
+from statloom.llm.common import cut, join_hot
 
 KINDS = ("email", "ip", "card", "phone")
 PATTERNS = {
@@ -34,11 +36,15 @@ PATTERNS = {
 #: Without one of these characters a text holds no match.
 NEEDS = {"email": "@", "phone": "+"}
 _PART = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
-_CUED = r"\p{L}[\p{L}\p{M}-]{0,30}"
+_CUED = r"\p{L}[\p{L}\p{M}_-]{0,30}"
 _GROUP = r"\(?[0-9][0-9().-]*+(?![^\s,;:!?])"
-#: At a start of a run, or after a cue and ":" or "=" there: up to eight groups of digits with spaces between, or a run with a digit.
-CANDIDATE = rf"(?:(?<!\S)(?!{_CUED}[:=][^\s/])|(?<=[:=])(?<=(?<!\S){_CUED}[:=])(?=[^\s/]))(?:\+?{_GROUP}(?:\x20{_GROUP}){{1,7}}+|(?=\S*?[0-9])[^\s]{{5,}}+)"
-CUE_CHARS, ROUNDS, LEAST_SCORE, LEAST_SEEDS = 40, 3, 0.7, 3
+#: At a start of a run, after an opening quotation mark there, or after a cue and ":" or "=" (and a quotation mark) there: up to eight
+#: groups of digits with spaces between, or a run with a digit.
+CANDIDATE = rf"(?:(?<!\S)(?!{_CUED}[:=][^\s/])(?![\"'])|(?<=(?<!\S)[\"'])|(?<=[:=])(?<=(?<!\S){_CUED}[:=])(?=[^\s/\"'])|(?<=[:=][\"'])(?<=(?<!\S){_CUED}[:=][\"']))(?:\+?{_GROUP}(?:\x20{_GROUP}){{1,7}}+|(?=[^\s\"']*?[0-9])[^\s\"']{{5,}}+)"
+#: Forms of secrets: hexadecimal digests and keys, and keys with a vendor's prefix.
+SECRET = r"^(?:(?=.*[0-9])(?=.*[a-f])[0-9a-f]{32,}|(?=.*[0-9])(?=.*[A-F])[0-9A-F]{32,}|AKIA[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{36,}|xox[abprs]-[0-9A-Za-z-]{10,}|eyJ[0-9A-Za-z_-]{8,}\.[0-9A-Za-z_-]+\.[0-9A-Za-z_-]+)$"
+SEEDS = (*KINDS, "secret")
+CUE_CHARS, ROUNDS, LEAST_SCORE, LEAST_SUPPORT = 40, 3, 0.7, 3.0
 BLOCK = 64
 
 
@@ -85,7 +91,7 @@ def _span(kind: str):
 
 
 def _seed(kind: str):
-    return lambda x: F.struct(F.lit(kind).alias("kind"), x["s"].alias("s"), x["e"].alias("e"), F.lower(x["m"]).alias("m"), _cue(x["before"]).alias("cue"))
+    return lambda x: F.struct(F.lit(kind).alias("kind"), x["s"].alias("s"), x["e"].alias("e"), F.lower(x["m"]).alias("m"), _patterns(x["before"]).alias("patterns"))
 
 
 def _with_spans(df: DataFrame, name: str, pattern: str, needs: str | None = None) -> DataFrame:
@@ -99,9 +105,21 @@ def _with_spans(df: DataFrame, name: str, pattern: str, needs: str | None = None
     return df.withColumn(name, spans).drop("_m", "_p", "_n", "_s")
 
 
-def _cue(before: Column) -> Column:
-    """The word before, lower-cased, without punctuation; empty if there is none in the same window."""
-    return F.lower(F.regexp_extract(before, r"(\p{L}[\p{L}\p{M}-]*+)[^\p{L}\s]{0,3}\s{0,2}$", 1))
+_BEFORE = r"(\p{L}[\p{L}\p{M}_-]*+)([^\p{L}\s]{0,3}\s{0,2}(?:[:=]\s{0,2}[\"']?|[\"'])?)$"
+
+
+def _patterns(before: Column, *more: Column) -> Column:
+    """The word before, lower-cased, as `w:word`, and if there is more than white space between, with that, as `f:word=`; none if there is
+    no word in the same window. more: further patterns."""
+    word, signs = F.lower(F.regexp_extract(before, _BEFORE, 1)), F.regexp_replace(F.regexp_extract(before, _BEFORE, 2), r"\s+", "")
+    near = F.when(word == "", F.array().cast("array<string>")).when(signs == "", F.array(F.concat(F.lit("w:"), word)))
+    return F.concat(near.otherwise(F.array(F.concat(F.lit("w:"), word), F.concat(F.lit("f:"), word, signs))), F.array(*more).cast("array<string>"))
+
+
+def _shape(m: Column) -> Column:
+    """What an instance is made of, and its length."""
+    made = F.when(m.rlike("^[0-9]+$"), "digits").when(m.rlike("^[0-9A-Fa-f]+$"), "hex").when(m.rlike("^[0-9A-Za-z]+$"), "alnum").when(m.rlike("^[0-9A-Za-z_-]+$"), "key")
+    return F.concat(F.lit("s:"), made.otherwise("mixed"), F.lit(":"), F.length(m).cast("string"))
 
 
 def extract(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -114,33 +132,41 @@ def extract(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     base = F.concat(*[F.transform(k, _span(k)) for k in KINDS])
     seeds = F.concat(*[F.transform(k, _seed(k)) for k in KINDS])
     df = df.withColumn("base", base).withColumn("_seeds", seeds)
-    bare = F.transform("_c", lambda x: F.struct(F.lit("other").alias("kind"), x["s"].alias("s"), (x["s"] + F.length(F.regexp_replace(x["m"], r"[^\p{L}\p{N}]++$", ""))).alias("e"), F.lower(F.regexp_replace(x["m"], r"[^\p{L}\p{N}]++$", "")).alias("m"), _cue(x["before"]).alias("cue")))
-    df = df.withColumn("_free", F.filter(bare, lambda x: (F.length(x["m"]) >= 5) & (x["cue"] != "")))
+    clean = F.transform("_c", lambda x: F.struct(x["s"].alias("s"), F.regexp_replace(x["m"], r"[^\p{L}\p{N}]++$", "").alias("m"), x["before"].alias("before")))
+    df = df.withColumn("_c", F.filter(clean, lambda x: F.length(x["m"]) >= 5))
+    kind = lambda m: F.when(m.rlike(SECRET), "secret").otherwise("other")
+    bare = F.transform("_c", lambda x: F.struct(kind(x["m"]).alias("kind"), x["s"].alias("s"), (x["s"] + F.length(x["m"])).alias("e"), F.lower(x["m"]).alias("m"), F.when(x["m"].rlike(SECRET), _patterns(x["before"])).otherwise(_patterns(x["before"], _shape(x["m"]))).alias("patterns")))
+    df = df.withColumn("_free", bare)
     others = F.filter("_free", lambda x: ~F.exists("base", lambda b: (b["s"] < x["e"]) & (b["e"] > x["s"])))
     df = df.withColumn("_others", F.when(F.size("base") > 0, others).otherwise(F.col("_free")))
     table = cut(df.select(id_col, "base", "_seeds", "_others").withColumn("_row", F.monotonically_increasing_id()))
 
-    cues = accepted_cues(table.select(F.explode(F.concat("_seeds", "_others")).alias("x")).select("x.cue", F.col("x.m").alias("instance"), "x.kind").where("cue <> ''"))
-    found = table.where(F.size("_others") > 0).select("_row", F.explode("_others").alias("x")).select("_row", "x.cue", F.struct("x.kind", "x.s", "x.e").alias("span")).join(cues.select("cue"), "cue", "left_semi")
-    found = found.groupBy("_row").agg(F.sort_array(F.collect_list("span")).alias("found"))
+    met = table.select(F.explode(F.concat("_seeds", "_others")).alias("x")).select(F.explode("x.patterns").alias("cue"), F.col("x.m").alias("instance"), "x.kind")
+    cues = accepted_cues(met)
+    found = table.where(F.size("_others") > 0).select("_row", F.explode("_others").alias("x")).select("_row", F.struct(F.lit("other").alias("kind"), "x.s", "x.e").alias("span"), F.explode("x.patterns").alias("cue"))
+    found = found.join(cues.select("cue"), "cue", "left_semi").groupBy("_row").agg(F.sort_array(F.collect_set("span")).alias("found"))
     out = table.join(found, "_row", "left")
     return out.select(id_col, "base", F.coalesce("found", F.array().cast(found.schema["found"].dataType)).alias("found"))
 
 
-def accepted_cues(edges: DataFrame, rounds: int = ROUNDS, least_score: float = LEAST_SCORE, least_seeds: int = LEAST_SEEDS) -> DataFrame:
-    """(cue, kind, score) of patterns to trust, from occurrences (cue, instance, kind: of a base entity, or `other`)."""
-    seed = [F.max((F.col("kind") == k).cast("double")).alias(k) for k in KINDS]
+def accepted_cues(edges: DataFrame, rounds: int = ROUNDS, least_score: float = LEAST_SCORE, least_support: float = LEAST_SUPPORT) -> DataFrame:
+    """(cue, kind, score) of patterns to trust, from occurrences (cue, instance, kind: of a seed, or `other`).
+
+    A pattern's support is the sum of its different instances' scores; so three seeds, or some more that other patterns vouch for."""
+    seed = [F.max((F.col("kind") == k).cast("double")).alias(k) for k in SEEDS]
     graph = cut(edges.groupBy("cue", "instance").agg(F.count("*").alias("n"), *seed))
-    known = graph.groupBy("instance").agg(*[F.max(k).alias(f"_{k}") for k in KINDS])
-    graph = cut(graph.drop(*KINDS).join(known, "instance").withColumnsRenamed({f"_{k}": k for k in KINDS}))
-    scored = graph.select("*", *[F.col(k).alias(f"i_{k}") for k in KINDS])
+    n_edges = graph.count()
+    known = graph.groupBy("instance").agg(*[F.max(k).alias(f"i_{k}") for k in SEEDS], F.count("*").alias("n_cues"))
+    graph = cut(join_hot(graph.drop(*SEEDS), known, "instance", "n_cues", n_edges).drop("n_cues"))
+    scored = graph
     for r in range(rounds):
-        share = [(F.sum(F.col("n") * F.col(f"i_{k}")) / (F.sum("n") + 1)).alias(f"p_{k}") for k in KINDS]
-        cues = cut(scored.groupBy("cue").agg(*share, *[F.sum(k).alias(f"seeds_{k}") for k in KINDS]))
+        share = [(F.sum(F.col("n") * F.col(f"i_{k}")) / (F.sum("n") + 1)).alias(f"p_{k}") for k in SEEDS]
+        cues = cut(scored.groupBy("cue").agg(*share, *[F.sum(f"i_{k}").alias(f"support_{k}") for k in SEEDS], F.count("*").alias("n_instances")))
         if r + 1 == rounds:
             break
-        trust = [F.when(F.col(f"p_{k}") >= 0.5, F.least(F.col(f"p_{k}"), F.lit(0.99))).otherwise(0.0) for k in KINDS]
-        odds = graph.join(cues, "cue").groupBy("instance").agg(*[(1 - F.exp(F.sum(F.log1p(-t)))).alias(f"o_{k}") for k, t in zip(KINDS, trust, strict=True)])
-        scored = cut(graph.join(odds, "instance").select("cue", "instance", "n", *KINDS, *[F.greatest(k, f"o_{k}").alias(f"i_{k}") for k in KINDS]))
-    best = F.array_max(F.array(*[F.struct(F.col(f"p_{k}").alias("score"), F.lit(k).alias("kind"), F.col(f"seeds_{k}").alias("seeds")) for k in KINDS]))
-    return cues.select("cue", best.alias("b")).where((F.col("b.score") >= least_score) & (F.col("b.seeds") >= least_seeds)).select("cue", "b.kind", "b.score")
+        trust = [F.when(F.col(f"p_{k}") >= 0.5, F.least(F.col(f"p_{k}"), F.lit(0.99))).otherwise(0.0) for k in SEEDS]
+        odds = join_hot(graph, cues, "cue", "n_instances", n_edges).groupBy("instance").agg(*[(1 - F.exp(F.sum(F.log1p(-t)))).alias(f"o_{k}") for k, t in zip(SEEDS, trust, strict=True)], F.count("*").alias("n_cues"))
+        odds = join_hot(graph, cut(odds), "instance", "n_cues", n_edges)
+        scored = cut(odds.select("cue", "instance", "n", *[F.greatest(f"i_{k}", f"o_{k}").alias(f"i_{k}") for k in SEEDS]))
+    best = F.array_max(F.array(*[F.struct(F.col(f"p_{k}").alias("score"), F.lit(k).alias("kind"), F.col(f"support_{k}").alias("support")) for k in SEEDS]))
+    return cues.select("cue", best.alias("b")).where((F.col("b.score") >= least_score) & (F.col("b.support") >= least_support)).select("cue", "b.kind", "b.score")
