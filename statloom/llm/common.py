@@ -174,7 +174,7 @@ def whole_groups(batches, keys: list[str], rows: int = 16_384, size: int = 16 <<
         yield table, starts(table)
 
 
-def pair_indices(starts, n: int, own=None, crossed=None, at_once: int = 1_000_000):
+def pair_indices(starts, n: int, own=None, crossed=None, at_once: int = 1 << 17):
     """(a, b) index arrays of all pairs within each group; in groups that are crossed, only pairs of unequal own."""
     import numpy as np
 

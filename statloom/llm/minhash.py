@@ -286,7 +286,7 @@ def _shared(hashes: np.ndarray, counts: np.ndarray, starts: np.ndarray) -> tuple
     tagged, row, new = tagged[first], row[first], new[first]
     size = np.bincount(row, minlength=n)
     share = np.zeros(n * FEW, np.int64)
-    for a, b in pair_indices(np.flatnonzero(new), len(row), at_once=8 * AT_ONCE):
+    for a, b in pair_indices(np.flatnonzero(new), len(row), at_once=AT_ONCE):
         share += np.bincount(row[a] * FEW + row[b] - row[a], minlength=n * FEW)
     pair = np.flatnonzero(share)
     return pair // FEW, pair // FEW + pair % FEW, share[pair], size
