@@ -182,9 +182,13 @@ def mle_hypergeometric(spark, sf):
 @query("log_densities", """SELECT event_id, value AS x, -ln(value) - ln(0.5 * sqrt(2 * pi())) - pow(ln(value) - 3, 2) / 0.5 AS lognormal, ln(0.02) - 0.02 * value AS exponential,
 2 * ln(0.05) - lgamma(2) + ln(value) - 0.05 * value AS gamma, CASE WHEN value BETWEEN 10 AND 200 THEN -ln(190) END AS uniform FROM events""")
 def log_densities(spark, sf):
+    """The formulas at any value: as in the SQL, the logarithm of 0 is -infinity, that of less NaN, and only the uniform density has an end."""
     e, x = read(spark, sf, "events"), F.col("value")
     made = {f: P.log_density(f, x, a, b) for f, a, b in (("lognormal", 3.0, 0.5), ("exponential", 0.02, None), ("gamma", 2.0, 0.05), ("uniform", 10.0, 200.0))}
-    return e.select("event_id", x.alias("x"), *[F.when(c != float("-inf"), c).alias(f) for f, c in made.items()])
+    nan = F.lit(float("nan"))
+    made |= {"lognormal": F.when(x > 0, made["lognormal"]).otherwise(nan), "exponential": F.when(x >= 0, made["exponential"]).otherwise(math.log(0.02) - 0.02 * x)}
+    made |= {"gamma": F.when(x >= 0, made["gamma"]).otherwise(nan), "uniform": F.when(x.between(10, 200), made["uniform"])}
+    return e.select("event_id", x.alias("x"), *[F.when(x.isNotNull(), c).alias(f) for f, c in made.items()])
 
 
 @query("log_masses", """SELECT l_orderkey * 10 + l_linenumber AS row, l_quantity * ln(20.0) - 20 - lgamma(l_quantity + 1) AS poisson, (l_quantity - 1) * ln(0.95) + ln(0.05) AS geometric,
