@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from statloom.functions.links import star_edges
 from statloom.functions.prefix import running_sum, value_counts
 from statloom.sources.shared import cut
 
@@ -214,32 +217,53 @@ def conditioning_column(x: np.ndarray) -> int:
     return best[1]
 
 
+#: Links that one task contracts.
+PART = 1_000_000
+
+
 def density_split(df: DataFrame, columns: list[str], eps: float = 2.0, least: int = 10) -> DataFrame:
     """DBSCAN: (row id, part) with part the least core row of its cluster, null for noise. df needs a unique long column `row`.
 
     A grid's cells are so small that all rows of one are neighbours. So a cell of `least` rows is core as a whole and needs no
     comparison; other rows count their neighbours in the cells around. Core rows of a cell are one group, and groups are joined
-    by connected components. A row near cores of several clusters goes to the least.
+    by connected components. A row near cores of several clusters goes to the least. Rows with a null or a value that is not
+    finite have no neighbours.
     """
     side = eps / math.sqrt(len(columns))  # any two rows of a cell are neighbours
-    at = cut(df.select("row", *columns, *[F.floor(F.col(c) / side).cast("long").alias(f"_g{i}") for i, c in enumerate(columns)]))
+    finite = reduce(Column.__and__, [F.abs(F.col(c).cast("double")) < float("inf") for c in columns])
+    at = cut(df.where(finite).select("row", *columns, *[F.floor(F.col(c) / side).cast("long").alias(f"_g{i}") for i, c in enumerate(columns)]))
     keys = [f"_g{i}" for i in range(len(columns))]
-    cells = at.groupBy(*keys).agg(F.count("*").alias("n"), F.min("row").alias("least"))
+    cells = at.groupBy(*keys).agg(F.count("*").alias("n"))
     reach = math.ceil(math.sqrt(len(columns)))
-    # dense cells are core as a whole; rows of other cells are compared with the rows of cells in reach, which few share
+    # dense cells are core as a whole; rows of other cells, few in each, are compared with the rows of cells in reach
     around = at.join(cells, keys)
     dense, rest = around.where(F.col("n") >= least), around.where(F.col("n") < least)
-    spread = _around(at, keys, reach)
     far = sum(((F.col(f"p.{c}") - F.col(f"q.{c}")) ** 2 for c in columns), F.lit(0.0)) <= eps * eps
-    near = rest.alias("p").join(spread.alias("q"), keys).where(far).groupBy("p.row").agg(F.count("*").alias("k"))
+    near = _around(rest.drop("n"), keys, reach).alias("p").join(at.alias("q"), keys).where(far).groupBy("p.row").agg(F.count("*").alias("k"))
     core = cut(dense.select("row", *keys, *columns).union(rest.join(near.where(F.col("k") >= least).select("row"), "row", "left_semi").select("row", *keys, *columns)))
-    # core rows of a cell are one group; groups are joined where two of their rows are near
-    groups = core.groupBy(*keys).agg(F.min("row").alias("group"))
-    named = cut(core.join(groups, keys))
-    moved = cut(_around(named.select("row", F.col("group").alias("other"), *columns, *keys), keys, reach))
-    links = named.alias("p").join(moved.alias("q"), keys).where(F.col("p.group") < F.col("q.other")).where(far).select(F.col("p.group").alias("a"), F.col("q.other").alias("b")).distinct()
+    # core rows of a cell are one group; groups are joined where two of their points are near. On a line, a cell's ends decide
+    if len(columns) == 1:
+        ends = core.groupBy(*keys).agg(F.min("row").alias("group"), F.array_distinct(F.array(F.min(columns[0]), F.max(columns[0]))).alias("_ends")).withColumn(columns[0], F.explode("_ends"))
+    else:
+        ends = core.groupBy(*keys, *columns).agg(F.min("row").alias("row")).join(core.groupBy(*keys).agg(F.min("row").alias("group")), keys)
+    ends = cut(ends.select("group", *columns, *keys))
+    moved = _around(ends.withColumnRenamed("group", "other"), keys, reach)
+    links = cut(ends.alias("p").join(moved.alias("q"), keys).where(F.col("p.group") < F.col("q.other")).where(far).select(F.col("p.group").alias("a"), F.col("q.other").alias("b")).distinct())
+    label = _labels(ends.select("group", *keys).distinct(), links)
+    inner = core.join(label, keys).select("row", "part")
+    edge = at.join(core.select("row"), "row", "left_anti").alias("p").join(moved.alias("q"), keys).where(far)
+    edge = edge.join(label.select("group", "part"), F.col("q.other") == F.col("group")).groupBy("p.row").agg(F.min("part").alias("part"))
+    return df.select("row").join(inner.union(edge), "row", "left").select("row", "part")
+
+
+def _labels(groups: DataFrame, links: DataFrame) -> DataFrame:
+    """groups (group, ...) with part, the least group that links (a, b) reach. Tasks contract their links; what few of them hold is settled then."""
+    parts = max(1, -(-links.count() // PART))
+    stars = cut(links.repartition(parts, "a").mapInArrow(_stars, "a long, b long"))
+    if parts == 1:
+        return cut(groups.join(stars, F.col("group") == F.col("a"), "left").select(*groups.columns, F.coalesce("b", "group").alias("part")))
     label = cut(groups.select(F.col("group").alias("g"), F.col("group").alias("part")))
-    both = cut(links.union(links.select("b", "a")))
+    both = cut(stars.union(stars.select("b", "a")))
     while True:  # the least label among neighbours, then that label's own; each round is cut
         low = both.join(label, F.col("b") == F.col("g")).groupBy("a").agg(F.min("part").alias("m"))
         new = label.join(low, F.col("g") == F.col("a"), "left").select("g", F.least("part", "m").alias("part"))
@@ -248,9 +272,14 @@ def density_split(df: DataFrame, columns: list[str], eps: float = 2.0, least: in
         if not new.join(label.withColumnRenamed("part", "old"), "g").where("part <> old").limit(1).count():
             break
         label = new
-    inner = named.join(label, F.col("group") == F.col("g")).select("row", "part")
-    edge = at.join(core.select("row"), "row", "left_anti").alias("p").join(moved.alias("q"), keys).where(far).join(label, F.col("q.other") == F.col("g")).groupBy("p.row").agg(F.min("part").alias("part"))
-    return df.select("row").join(inner.union(edge), "row", "left").select("row", "part")
+    return groups.join(label, F.col("group") == F.col("g")).drop("g")
+
+
+def _stars(batches):
+    held = list(batches)
+    if held:
+        node, root = star_edges(*(np.concatenate([b.column(c).to_numpy() for b in held]) for c in ("a", "b")))
+        yield pa.RecordBatch.from_pydict({"a": pa.array(node, pa.int64()), "b": pa.array(root, pa.int64())})
 
 
 def _around(df: DataFrame, keys: list[str], reach: int) -> DataFrame:
