@@ -78,7 +78,8 @@ def _by_texts(b: pa.RecordBatch, chars: int = 4_000_000) -> Iterator[tuple[int,
 
 def joined(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, least: float = LEAST, rows: int = ROWS, recall: float = RECALL) -> DataFrame:
     """row, id, component (its smallest id), n_links (other rows at a similarity of at least `least`), first (whether the row
-    stays when one of each component does). row is monotonically_increasing_id() of docs."""
+    stays when one of each component does). row is monotonically_increasing_id() of docs, which must be a table or a result that
+    is read back, so that its rows come in the same order twice."""
     spark = docs.sparkSession
     bands = bands_for(least, rows, recall)
     n_slices = 8 * int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -114,31 +115,25 @@ def joined(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", word
 
     groups = candidate_groups([signed.where("key is not null").select("key", "entries").mapInArrow(pack, "slice int, payload binary")], least)
     groups = cut(groups)
-    shared = spark.sparkContext.broadcast(bloom_of(groups, "node"))
+    n_rows = signed.count()
+    classes = signed.where("key is not null").groupBy("key").agg(F.count("*").alias("weight"), F.min("id").alias("least_id"), F.min("row").alias("first_row"))
+    classes = cut(classes.join(sized(groups).withColumnRenamed("node", "key"), "key", "left"))
+    # a class's n-grams are made again from its first row; other texts aren't
+    shared = spark.sparkContext.broadcast(bloom_of(classes.where("root is not null"), "first_row"))
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, seen, bloom = WordHashes(), set(), shared.value
+        known, bloom = WordHashes(), shared.value
         for b in batches:
-            for _, _, texts in _by_texts(b):
+            for _, _, texts in _by_texts(b.filter(pa.array(maybe_in(bloom, b.column("row").to_numpy())))):
                 sets = [s for s in _distinct(*shingles(texts, words, known)) if len(s)]
-                keys = _keys(sets)
-                out = []
-                for i in np.flatnonzero(maybe_in(bloom, keys)).tolist() if len(keys) else ():
-                    if keys[i] not in seen:
-                        if len(seen) < 1_000_000:
-                            seen.add(keys[i])
-                        out.append((int(keys[i]), sets[i].tobytes()))
-                yield pa.RecordBatch.from_pydict({"key": pa.array([k for k, _ in out], pa.int64()), "shingles": pa.array([s for _, s in out], pa.binary())})
+                yield pa.RecordBatch.from_pydict({"key": pa.array(_keys(sets), pa.int64()), "shingles": pa.array([s.tobytes() for s in sets], pa.binary())})
 
-    n_rows = signed.count()
-    classes = signed.where("key is not null").groupBy("key").agg(F.count("*").alias("weight"), F.min("id").alias("least_id"))
-    classes = cut(classes.join(sized(groups).withColumnRenamed("node", "key"), "key", "left"))
-    full = plain.select("text").mapInArrow(fetch, "key long, shingles binary").dropDuplicates(["key"])
+    full = plain.select("row", "text").mapInArrow(fetch, "key long, shingles binary").dropDuplicates(["key"])
     members = full.join(classes.where("root is not null").select("key", "weight", "root", "size"), "key")
     links = verified_links(members, least)
     counted = links.where("links > 0").groupBy("key").agg(F.sum("links").alias("links"))
     roots = connected_components(links.where("other is not null"), "key", "other")
-    kin = classes.drop("root", "size").join(counted, "key", "left").join(roots.withColumnRenamed("node", "key"), "key", "left")
+    kin = classes.drop("root", "size", "first_row").join(counted, "key", "left").join(roots.withColumnRenamed("node", "key"), "key", "left")
     kin = cut(kin.select("key", F.coalesce("root", "key").alias("root"), "least_id", "weight", (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("links")))
     named = kin.groupBy("root").agg(F.min("least_id").alias("component"), F.count("*").alias("classes"))
     kin = join_hot(kin, named, "root", "classes", n_rows)

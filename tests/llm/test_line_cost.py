@@ -3,7 +3,9 @@
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark import cloudpickle
 
+from statloom.llm import ngramjoin
 from statloom.llm.linededup import _places, python_keys
 from statloom.llm.minhash import ENTRY, Signer, _linked, _shared, candidate_edges, slices
 
@@ -54,3 +56,26 @@ def test_edges_come_in_fewer_parts(spark):
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)
+
+
+def test_ngrams_are_made_again_for_candidates_only(spark, tmp_path, monkeypatch):
+    """The second reading makes n-grams of the first row of each class that has a candidate, and of no other text."""
+    words = [f"w{i}" for i in range(4000)]
+    texts = [" ".join(words[40 * k : 40 * k + 40]) for k in range(90)]
+    rows = [(i, t) for i, t in enumerate([*texts, texts[0] + " more", texts[0] + " more", None, ""])]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/d")
+    made = spark.sparkContext.accumulator(0)
+    own = ngramjoin.shingles
+
+    def counted(texts, n, known):
+        made.add(len(texts))
+        return own(texts, n, known)
+
+    monkeypatch.setattr(ngramjoin, "shingles", counted)
+    cloudpickle.register_pickle_by_value(ngramjoin)
+    try:
+        got = {r.id: (r.component, r.n_links) for r in ngramjoin.joined(spark.read.parquet(f"{tmp_path}/d")).collect()}
+    finally:
+        cloudpickle.unregister_pickle_by_value(ngramjoin)
+    assert {k: v for k, v in got.items() if v[1]} == {0: (0, 2), 90: (0, 2), 91: (0, 2)} and len(got) == len(rows)
+    assert len(rows) + 2 <= made.value <= len(rows) + 4
