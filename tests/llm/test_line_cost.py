@@ -4,10 +4,11 @@ import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark import cloudpickle
+from pyspark.sql.classic.dataframe import DataFrame
 
 from statloom.llm import ngramjoin
 from statloom.llm.linededup import _places, python_keys
-from statloom.llm.minhash import ENTRY, Signer, _linked, _shared, candidate_edges, slices
+from statloom.llm.minhash import ENTRY, Signer, _linked, _shared, bloom_of, candidate_edges, maybe_in, slices
 
 
 def _similar(a, b):
@@ -79,3 +80,13 @@ def test_ngrams_are_made_again_for_candidates_only(spark, tmp_path, monkeypatch)
         cloudpickle.unregister_pickle_by_value(ngramjoin)
     assert {k: v for k, v in got.items() if v[1]} == {0: (0, 2), 90: (0, 2), 91: (0, 2)} and len(got) == len(rows)
     assert len(rows) + 2 <= made.value <= len(rows) + 4
+
+
+def test_one_filter_reaches_the_driver(spark, monkeypatch):
+    """Filters of many parts are joined by tasks, whatever the number of parts."""
+    got = []
+    own = DataFrame.toLocalIterator
+    monkeypatch.setattr(DataFrame, "toLocalIterator", lambda self, *a, **b: (got.append(r) or r for r in own(self, *a, **b)))
+    bloom = bloom_of(spark.range(0, 1000, 1, 16).toDF("k"), "k", 1 << 20)
+    assert maybe_in(bloom, np.arange(1000)).all() and maybe_in(bloom, np.arange(1000, 3000)).sum() < 20
+    assert len(got) == 1
