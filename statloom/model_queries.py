@@ -183,8 +183,9 @@ def mle_hypergeometric(spark, sf):
 2 * ln(0.05) - lgamma(2) + ln(value) - 0.05 * value AS gamma, CASE WHEN value BETWEEN 10 AND 200 THEN -ln(190) END AS uniform FROM events""")
 def log_densities(spark, sf):
     """The formulas at any value: as in the SQL, the logarithm of 0 is -infinity, that of less NaN, and only the uniform density has an end."""
-    e, x = read(spark, sf, "events"), F.col("value")
-    made = {f: P.log_density(f, x, a, b) for f, a, b in (("lognormal", 3.0, 0.5), ("exponential", 0.02, None), ("gamma", 2.0, 0.05), ("uniform", 10.0, 200.0))}
+    x, ln = F.col("value"), F.coalesce("_ln", F.log("value"))  # of 0, NaN and infinity as Spark has it
+    e = read(spark, sf, "events").select("event_id", "value").withColumn("_ln", P.c_log(x))
+    made = {f: P.log_density(f, x, a, b, ln=ln, square=P.c_square) for f, a, b in (("lognormal", 3.0, 0.5), ("exponential", 0.02, None), ("gamma", 2.0, 0.05), ("uniform", 10.0, 200.0))}
     nan = F.lit(float("nan"))
     made |= {"lognormal": F.when(x > 0, made["lognormal"]).otherwise(nan), "exponential": F.when(x >= 0, made["exponential"]).otherwise(math.log(0.02) - 0.02 * x)}
     made |= {"gamma": F.when(x >= 0, made["gamma"]).otherwise(nan), "uniform": F.when(x.between(10, 200), made["uniform"])}

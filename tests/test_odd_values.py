@@ -25,6 +25,13 @@ def test_log_densities(spark, tmp_path):
         assert [v for v in got[k] if v is not None] == pytest.approx([v for v in row if v is not None], abs=1e-9, nan_ok=True), k
 
 
+def test_log_densities_to_the_last_bit(spark, tmp_path):
+    """Over many values, with logarithms and the order of operations as in the SQL: no result differs in any bit."""
+    values = [k / 100 for k in range(1, 20_001)]
+    got, want = both(spark, tmp_path, "log_densities", "events", spark.createDataFrame(list(enumerate(values)), "event_id long, value double"))
+    assert got == want and len(got) == len(values)
+
+
 def test_density_of_chained_and_odd_rows(spark, tmp_path):
     """A chain of many cells, sparse rows at its side, and values that are near nothing."""
     x = [100.0 * k for k in range(0, 1200, 2) for _ in range(2)] + [250_000.0, 250_150.0, 250_350.0, float("nan"), float("nan"), float("nan"), None, float("inf"), float("inf"), float("-inf")]
